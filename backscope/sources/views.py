@@ -201,6 +201,10 @@ def files(spark: SparkSession, folder: str) -> DataFrame:
 
 SQL["files"] = f"SELECT backup_path AS path, size_bytes + CASE WHEN id % 13 = 0 THEN 1 ELSE 0 END AS size, created_at AS modified_at FROM backups WHERE id % 11 <> 0 UNION ALL SELECT '/b/stray/' || p_partkey, p_partkey, TIMESTAMP '{AS_OF}' FROM part WHERE p_partkey % 9 = 0"
 
-VIEWS: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (backups, oplog, samples, log_files, iterations, blobs, chunk_refs, chunk_store, tables_src, tables_dst, timelines, toc, dump_lines, tables, nodes, files)}
+def events_raw(spark: SparkSession, folder: str) -> DataFrame:
+    return read(spark, folder, "events")
+
+
+VIEWS: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (backups, oplog, samples, log_files, iterations, blobs, chunk_refs, chunk_store, tables_src, tables_dst, timelines, toc, dump_lines, tables, nodes, files, events_raw)}
 #: Views whose SQL reads other views.
 NEEDS = {"tables_dst": ("tables_src",), "files": ("backups",)}
