@@ -31,7 +31,7 @@ from .bpe import gathered
 from .common import LOWER, keep, mixed, slices, strings, words
 
 #: Bytes of text in a shard, bytes of text for a bucket, rounds of fitting, and what is added to each expected count.
-SHARD_BYTES, BUCKET_BYTES, ROUNDS, ADDED = 12 << 20, 16 << 20, 2, 0.1
+SHARD_BYTES, BUCKET_BYTES, ROUNDS, ADDED = 12 << 20, 16 << 20, 4, 0.1
 #: Words longer than this are done one by one.
 LONG = 40
 _RANDOM = np.random.default_rng(77).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -251,33 +251,69 @@ def pieces_of(content: bytes, scores: bytes | None) -> Pieces:
     return Pieces([base64.b64decode(line.split()[0]) for line in content.splitlines()], None if scores is None else np.frombuffer(scores))
 
 
-def _expect(batches: Iterator[pa.RecordBatch], content: bytes, scores: bytes | None) -> Iterator[pa.RecordBatch]:
-    pieces, total = pieces_of(content, scores), 0
-    for batch in batches:
-        for counts, sizes, letters in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            weight, size = np.frombuffer(counts, np.int64), np.frombuffer(sizes, np.int32).astype(np.int64)
-            data = np.frombuffer(letters, np.uint8)
-            use = weight > 0
-            start = np.cumsum(size) - size
-            total = total + word_counts(pieces, gathered(data, start[use], size[use]), size[use], weight[use])
-    if not np.isscalar(total):
-        hit = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(hit, pa.int64()), pa.array(total[hit])], ["piece", "expected"])
-
-
-def _count(table: pa.Table, content: bytes, scores: bytes) -> pa.Table:
-    """A bucket: each word's training count over the corpus and its log probability, for each shard that has it."""
+BUCKETS = "bucket long, distinct long, counts binary, sizes binary, letters binary, shards array<long>, places array<binary>, locals array<binary>"
+#: Words that are done at once, where rows hold fewer.
+TOGETHER = 100_000
+
+
+def _bucketed(table: pa.Table) -> pa.Table:
+    """A bucket's words, each once with its training count over the corpus, and for each shard that has some which they are."""
     shard, hashes, places, counts, sizes, letters = (table.column(c).to_pylist() for c in ("shard", "hashes", "places", "counts", "sizes", "letters"))
-    sizes = [np.frombuffer(x, np.int32).astype(np.int64) for x in sizes]
-    every = np.concatenate([np.frombuffer(x, np.uint64) for x in hashes])
-    known, one, local = np.unique(every, return_index=True, return_inverse=True)
+    known, one, local = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in hashes]), return_index=True, return_inverse=True)
     count = np.bincount(local, np.concatenate([np.frombuffer(x, np.int64) for x in counts])).astype(np.int64)
-    size = np.concatenate(sizes)
-    data = np.frombuffer(b"".join(letters), np.uint8)
-    logs = word_logs(pieces_of(content, scores), gathered(data, (np.cumsum(size) - size)[one], size[one]), size[one])
-    cut = np.cumsum([0, *map(len, sizes)])
-    back = [local[cut[k] : cut[k + 1]] for k in range(len(shard))]
-    return pa.table({"shard": pa.array(shard, pa.int64()), "places": pa.array(places, pa.binary()), "counts": pa.array([count[b].tobytes() for b in back], pa.binary()), "logs": pa.array([logs[b].tobytes() for b in back], pa.binary()), "distinct": pa.array([int((count > 0).sum()) if not k else 0 for k in range(len(shard))], pa.int64())})
+    size = np.concatenate([np.frombuffer(x, np.int32) for x in sizes]).astype(np.int64)
+    words_of = gathered(np.frombuffer(b"".join(letters), np.uint8), (np.cumsum(size) - size)[one], size[one])
+    cut = np.cumsum([0, *(len(x) // 8 for x in hashes)])
+    locals_of = [local[cut[k] : cut[k + 1]].astype(np.int32).tobytes() for k in range(len(shard))]
+    row = (table.column("bucket")[0].as_py(), int((count > 0).sum()), count.tobytes(), size[one].astype(np.int32).tobytes(), words_of.tobytes(), shard, places, locals_of)
+    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.binary()))
+    return pa.table({x.split()[0]: pa.array([c], t) for x, c, t in zip(BUCKETS.split(", "), row, kinds, strict=True)})
+
+
+def _several(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    """Rows of buckets, as many as hold enough words."""
+    rows, n = [], 0
+    for batch in batches:
+        for k in range(batch.num_rows):
+            rows += batch.slice(k, 1).to_pylist()
+            n += len(rows[-1]["sizes"]) // 4
+            if n >= TOGETHER:
+                yield rows
+                rows, n = [], 0
+    if rows:
+        yield rows
+
+
+def _words(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    counts, sizes = (np.concatenate([np.frombuffer(r[c], t) for r in rows]).astype(np.int64) for c, t in (("counts", np.int64), ("sizes", np.int32)))
+    return counts, sizes, np.frombuffer(b"".join(r["letters"] for r in rows), np.uint8)
+
+
+def _expect(batches: Iterator[pa.RecordBatch], content: bytes, scores: bytes | None) -> Iterator[pa.RecordBatch]:
+    pieces = pieces_of(content, scores)
+    total = np.zeros(len(pieces.raw))
+    for rows in _several(batches):
+        weight, size, data = _words(rows)
+        use = weight > 0
+        start = np.cumsum(size) - size
+        total += word_counts(pieces, gathered(data, start[use], size[use]), size[use], weight[use])
+    hit = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(hit, pa.int64()), pa.array(total[hit])], ["piece", "expected"])
+
+
+def _told(batches: Iterator[pa.RecordBatch], content: bytes, scores: bytes | None) -> Iterator[pa.RecordBatch]:
+    """For each shard what its words in a bucket count and weigh."""
+    pieces = pieces_of(content, scores)
+    for rows in _several(batches):
+        counts, size, data = _words(rows)
+        logs = word_logs(pieces, data, size)
+        first = 0
+        for row in rows:
+            n = len(row["sizes"]) // 4
+            here, weigh = counts[first : first + n], logs[first : first + n]
+            first += n
+            back = [np.frombuffer(x, np.int32) for x in row["locals"]]
+            yield pa.RecordBatch.from_arrays([pa.array(row["shards"], pa.int64()), pa.array(row["places"], pa.binary()), pa.array([here[b].tobytes() for b in back], pa.binary()), pa.array([weigh[b].tobytes() for b in back], pa.binary())], ["shard", "places", "counts", "logs"])
 
 
 def _score(docs: pa.Table, found: pa.Table, docs_trained: int, train_tokens: int, distinct: int, end_log: float) -> pa.Table:
@@ -318,20 +354,20 @@ def score(df: DataFrame, ranks: str, held_out: Column | None = None, id: str = "
     held = fold(F.col(f"`{id}`"), 7) == 2 if held_out is None else held_out
     source = df.select(F.col(f"`{id}`").cast("long").alias("doc_id"), held.alias("held_out"), F.col(f"`{text}`").cast("string").alias("text"))
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = keep(source.mapInArrow(partial(_shards, buckets=max(64, size // BUCKET_BYTES)), SHARDS), "lm-shards")
+    shards = keep(source.mapInArrow(partial(_shards, buckets=max(32, size // BUCKET_BYTES)), SHARDS), "lm-shards")
     docs = shards.where("tokens is not null").select("shard", "doc_id", "held_out", "n_words", "tokens")
-    vocabulary = shards.where("hashes is not null")
+    vocabulary = shards.where("hashes is not null").select("bucket", "shard", "hashes", "places", "counts", "sizes", "letters")
+    buckets = keep(vocabulary.groupBy("bucket").applyInArrow(_bucketed, BUCKETS), "lm-buckets")
     trained, tokens = docs.where("not held_out").agg(F.count("*"), F.coalesce(F.sum(F.col("n_words") + 1), F.lit(0))).first()
     scores, end_log = None, 0.0
     for _ in range(rounds):
         # at most one number for each piece of the vocabulary reaches the driver
-        told = vocabulary.select("counts", "sizes", "letters").mapInArrow(partial(_expect, content=content, scores=scores), "piece long, expected double")
+        told = buckets.select("counts", "sizes", "letters").mapInArrow(partial(_expect, content=content, scores=scores), "piece long, expected double")
         expected = np.full(len(content.splitlines()), ADDED)
         for piece, n in told.groupBy("piece").agg(F.sum("expected")).collect():
             expected[piece] += n
         total = expected.sum() + trained + ADDED
         scores, end_log = np.log(expected / total).tobytes(), math.log((trained + ADDED) / total)
-    found = vocabulary.select("bucket", "shard", "hashes", "places", "counts", "sizes", "letters").groupBy("bucket")
-    found = keep(found.applyInArrow(lambda table: _count(table, content, scores), "shard long, places binary, counts binary, logs binary, distinct long"), "lm-words")
-    distinct = (found.agg(F.sum("distinct")).first()[0] or 0) + (trained > 0)
-    return docs.groupBy("shard").cogroup(found.drop("distinct").groupBy("shard")).applyInArrow(lambda a, b: _score(a, b, trained, tokens, distinct, end_log), SCORES)
+    found = buckets.drop("bucket", "distinct").mapInArrow(partial(_told, content=content, scores=scores), "shard long, places binary, counts binary, logs binary")
+    distinct = (buckets.agg(F.sum("distinct")).first()[0] or 0) + (trained > 0)
+    return docs.groupBy("shard").cogroup(found.groupBy("shard")).applyInArrow(lambda a, b: _score(a, b, trained, tokens, distinct, end_log), SCORES)
