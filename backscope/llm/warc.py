@@ -138,6 +138,11 @@ def write(df: DataFrame, folder: str, id: str = "page_id", url: str = "url", pay
     for each digest is summed before the shuffle and written, so that the join which finds the others can split one that
     very many rows share.
     """
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(path(f"{folder}/_files")):
+        raise FileExistsError(f"{folder} has a list of files already")
     rows = df.select(F.col(f"`{id}`").cast("long").alias("id"), F.coalesce(F.encode(F.col(f"`{payload}`").cast("string"), "UTF-8"), F.lit(b"")).alias("payload"), F.col(f"`{url}`").cast("string").alias("url"))
     rows = rows.select("id", F.sha2("payload", 256).alias("digest"), "payload", "url")
     facts = keep(rows.select("id", "digest", F.octet_length("payload").cast("long").alias("payload_bytes")), "warc-facts")
@@ -151,12 +156,10 @@ def write(df: DataFrame, folder: str, id: str = "page_id", url: str = "url", pay
     all_rows = rows.withColumn("refers_to", F.lit(None).cast("long")).unionByName(revisits)
     dealt = all_rows.select(shard, "id", "digest", "payload", "url", "refers_to").repartition(max(1, len(set(cells))), "shard")
     dealt = dealt.sortWithinPartitions("shard", "id", "digest", F.col("payload").isNotNull(), "url")
-    spark, temporary = df.sparkSession, f"{folder}/_files-{uuid.uuid4().hex}"
+    temporary = f"{folder}/_files-{uuid.uuid4().hex}"
     dealt.mapInArrow(partial(_write, folder=folder, most=roll_bytes, date=date), FILES).write.parquet(temporary)
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.rename(path(temporary), path(f"{folder}/_files")):
-        raise FileExistsError(f"{folder} has a list of files already")
+        raise OSError(f"the list of files can't be put in {folder}")
     fs.delete(path(f"{folder}/_temporary"), True)
     return files(spark, folder)
 
