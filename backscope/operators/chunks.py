@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 #: Bytes of the shortest, usual and longest chunk.
 SHORTEST, USUAL, LONGEST = 4096, 8192, 32768
-_GEAR = np.random.default_rng(8192).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_GEAR = np.random.default_rng(8192).integers(0, 2**63, 256, dtype=np.uint64)
 
 
 def cuts(data: bytes) -> list[int]:
