@@ -135,15 +135,40 @@ def set_key(values: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(values.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+#: Edges, a few MB, that one task may hold.
+ONE_TASK = 100_000
+
+
+def _spanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All edges of a small graph: (v, label)."""
+    parent: dict[int, int] = {}
+
+    def root(v: int) -> int:
+        while parent.setdefault(v, v) != v:
+            parent[v] = parent[parent[v]]
+            v = parent[v]
+        return v
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = root(a), root(b)
+            parent[max(a, b)] = min(a, b)
+    told = [(v, r) for v in parent if (r := root(v)) != v]
+    yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in told], pa.int64()) for k in (0, 1)], ["v", "label"])
+
+
 def components(edges: DataFrame, name: str) -> DataFrame:
     """(v, label): for each vertex of the edges (a, b) that isn't the smallest of its component, that smallest vertex.
 
     Rounds of hooking each vertex to its smallest neighbour and doubling pointers, each round a written table; their
     number grows with the logarithm of the longest chain. Sums are taken before the shuffle, and the joins read written
-    tables, so that a vertex with very many neighbours can be split. No edges give no rows.
+    tables, so that a vertex with very many neighbours can be split. As soon as no more than ONE_TASK edges are left, one
+    task ends it. No edges give no rows.
     """
     e = keep(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), F.lit(True).alias("open")).distinct(), name)
     while True:
+        if e.count() <= ONE_TASK:
+            return keep(e.select("a", "b").repartition(1).mapInArrow(_spanned, "v long, label long"), name)
         p = keep(e.groupBy("a").agg(F.min("b").alias("p")), name)
         rest = e.select("a", "b").join(p, "a").where("b <> p").select(F.greatest("b", "p").alias("a"), F.least("b", "p").alias("b"), F.lit(True).alias("open"))
         up = p.select(F.col("a").alias("p"), F.col("p").alias("above"))

@@ -3,13 +3,15 @@
 Each distinct shingle set gets minwise tokens. In every one of a number of independent trees the root branches sets by one
 or two chosen tokens; a node's sets share the tokens of its path. Two sets of similarity s stay together in 1.25 s children
 on average, so that at the threshold a path survives and at much less it dies out. Nodes of one set end. In every node all
-sets are held against its smallest one, and found links are joined to components; a node whose sets are already in one
-component is done. Of the others, small ones are compared exhaustively across components, and large ones branch again.
-What is still large at the last level is compared across components too, in a join that can be split.
+sets are held against one of them, another in each node, and found links are joined to components; where a node still spans
+several, its sets are held against some of those with most links so far. This joins even a group of very many copies of one text
+without its pairs. A node whose sets are in one component is done. Of the others, small ones are compared exhaustively
+across components, and large ones branch again for as long as that thins them out. What then is still large is dense: it is
+compared across components too, in a join that can be split and that confirms links itself, on the full sets.
 
-Candidates first pass a sketch of one bit for each minwise token (a pair at the threshold fails once in three million);
-links are then confirmed on full sets. A pair at the threshold is missed by all trees less than once in a thousand even
-after six levels, and practically never where its node stays small; pairs inside one component need not be found.
+Candidates first pass a sketch of 1024 bits, each of another minwise order (a pair at the threshold fails three times in a
+million); links are then confirmed on full sets. A pair at the threshold is missed by all trees less than once in a thousand even
+after six levels (of branching), and practically never where its node stays small; pairs inside one component need not be found.
 
 Rows whose sets are equal count as one set (told apart by 64 bits). A text without words has the empty set and links with
 nothing. A null text counts as empty; a null id is never the smallest of its component, and a component of null ids only
@@ -30,18 +32,20 @@ from pyspark.sql import functions as F
 
 from .common import components, keep, set_key, shingle_sets
 
-#: Minwise tokens that trees choose from, trees, the sets of a node that are compared exhaustively, levels.
-TOKENS, TREES, SMALL, LEVELS, SEED = 96, 12, 48, 10, 5
+#: Minwise tokens that trees choose from, trees, the sets of a node that are compared exhaustively, levels at most, the share of rows left in large nodes up to which a level counts as thinning, hubs of a node.
+TOKENS, TREES, SMALL, LEVELS, THINNER, HUBS, SEED = 96, 12, 256, 24, 0.8, 16, 5
 #: Standard deviations that the sketch filter leaves below the threshold.
-SLACK = 5.0
-_FACTORS = np.random.default_rng(31).integers(1, 2**63, 128, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+SLACK = 4.5
+#: Columns of the sketch.
+SKETCH = tuple(f"s{k}" for k in range(16))
+_FACTORS = np.random.default_rng(31).integers(1, 2**63, 512, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def minwise(values: np.ndarray) -> np.ndarray:
-    """For each of 256 orders the least value of a set under it: 128 products, of which either half is an order."""
-    out = np.full(256, 0xFFFFFFFF, np.uint32)
-    for k in range(0, len(values), 1024):
-        out = np.minimum(out, (values[k : k + 1024, None] * _FACTORS).view(np.uint32).min(axis=0))
+    """For each of 1024 orders the least value of a set under it: 512 products, of which either half is an order."""
+    out = np.full(1024, 0xFFFFFFFF, np.uint32)
+    for k in range(0, len(values), 256):
+        out = np.minimum(out, (values[k : k + 256, None] * _FACTORS).view(np.uint32).min(axis=0))
     return out
 
 
@@ -52,14 +56,14 @@ def _sketched(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Reco
         for values in shingle_sets(batch.column(2), width):
             size.append(len(values))
             if not len(values):
-                key.append(None), tokens.append(np.zeros(0, np.uint32)), bits.append([None] * 4)
+                key.append(None), tokens.append(np.zeros(0, np.uint32)), bits.append([None] * 16)
                 continue
             least = minwise(values)
             key.append(set_key(values)), tokens.append(least[1::2][:TOKENS])
             bits.append(np.packbits(least & 1).view(np.int64).tolist())
         listed = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, tokens)]), pa.int32()), pa.array(np.concatenate(tokens).view(np.int32) if tokens else [], pa.int32()))
-        sketch = [pa.array(c, pa.int64()) for c in (zip(*bits, strict=True) if bits else [[]] * 4)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(key, pa.int64()), listed, *sketch], ["doc_id", "text_hash", "n_shingles", "v", "tokens", "s0", "s1", "s2", "s3"])
+        sketch = [pa.array(c, pa.int64()) for c in (zip(*bits, strict=True) if bits else [[]] * 16)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(key, pa.int64()), listed, *sketch], ["doc_id", "text_hash", "n_shingles", "v", "tokens", *SKETCH])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -72,15 +76,13 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
             yield pa.RecordBatch.from_arrays([part.column(0), listed], ["v", "shared"])
 
 
-SKETCH = ("s0", "s1", "s2", "s3")
-
-
 def alike(a: str, b: str, threshold: float) -> Column:
-    """Whether two sketches agree in as many of 256 bits as sets at the threshold do, but for chance."""
+    """Whether two sketches agree in as many of their bits as sets at the threshold do, but for chance."""
     same = (1 + threshold) / 2
-    least = math.floor(256 * same - SLACK * math.sqrt(256 * same * (1 - same)))
+    bits = 64 * len(SKETCH)
+    least = math.floor(bits * same - SLACK * math.sqrt(bits * same * (1 - same)))
     differ = sum((F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in SKETCH[1:]), F.bit_count(F.col(f"{a}.s0").bitwiseXOR(F.col(f"{b}.s0"))))
-    return differ <= 256 - least
+    return differ <= bits - least
 
 
 def roots(sets: DataFrame, trees: int, seed: int) -> DataFrame:
@@ -91,32 +93,56 @@ def roots(sets: DataFrame, trees: int, seed: int) -> DataFrame:
     return sets.select(F.explode(F.array(*nodes)).alias("node"), "v")
 
 
-def branched(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """(node, v): the children of nodes, each by one or two tokens that the node's name chooses."""
+def branched(rows: DataFrame) -> DataFrame:
+    """(node, v, label, tokens): the children of nodes, each by one or two tokens that the node's name chooses."""
     def child(salt: str) -> Column:
         at = F.pmod(F.xxhash64("node", F.lit(salt)), F.lit(TOKENS)).cast("int")
-        return F.xxhash64("node", at, F.element_at("tokens", at + 1))
+        return F.xxhash64("node", at, F.element_at("tokens", at + 1)).alias("node")
+
+    two = F.pmod(F.xxhash64("node", F.lit("two")), F.lit(4)) == 0
+    return rows.select(child("a"), "v", "label", "tokens").unionByName(rows.where(two).select(child("b"), "v", "label", "tokens"))
+
+
+def still_open(rows: DataFrame) -> DataFrame:
+    """The rows of nodes that span components, with the number n of the node's sets. A written table."""
+    counts = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("label").alias("least"), F.max("label").alias("most"))
+    return keep(rows.join(keep(counts.where("least <> most").select("node", "n"), "cp-open"), "node"), "cp-nodes")
+
 
-    second = F.when(F.pmod(F.xxhash64("node", F.lit("two")), F.lit(4)) == 0, F.array(child("a"), child("b"))).otherwise(F.array(child("a")))
-    return rows.join(sets.select("v", "tokens"), "v").select(F.explode(F.array_distinct(second)).alias("node"), "v")
+#: Bits of the filter that keeps other texts out of a shuffle: with 64 in a row, 2^17 rows at most are sent to all executors.
+FILTER_BITS = 1 << 23
 
 
-def shared(rows: DataFrame) -> DataFrame:
-    """(node, v, n, low) of nodes with more than one set: their number and the smallest. A written table."""
-    counts = keep(rows.groupBy("node").agg(F.count("*").alias("n"), F.min("v").alias("low")).where("n > 1"), "cp-counts")
-    return keep(rows.join(counts, "node"), "cp-nodes")
+def full_sets(vertices: DataFrame, source: DataFrame, places: DataFrame, width: int) -> DataFrame:
+    """(v, shared): the full sets of these vertices, made anew from one text of each."""
+    used = keep(places.join(vertices.distinct(), "v"), "cp-used").withColumnsRenamed({"doc_id": "at", "text_hash": "hash"})
+    bit = F.pmod(F.col("hash"), F.lit(FILTER_BITS))
+    bits = used.groupBy(F.shiftright(bit, 6).alias("cell")).agg(F.bit_or(F.expr(f"shiftleft(1L, int(pmod(hash, {FILTER_BITS}) % 64))")).alias("bits"))
+    at = F.pmod(F.col("text_hash"), F.lit(FILTER_BITS))
+    some = source.join(F.broadcast(bits), F.shiftright(at, 6) == F.col("cell")).where(F.expr(f"bit_get(bits, int(pmod(text_hash, {FILTER_BITS}) % 64)) = 1")).select("doc_id", "text_hash", "text")
+    texts = some.join(used, some["doc_id"].eqNullSafe(used["at"]) & (some["text_hash"] == used["hash"])).select("v", "text")
+    return keep(texts.mapInArrow(partial(_sets, width=width), "v long, shared array<long>").dropDuplicates(["v"]), "cp-sets")
+
+
+def linked(x: str, y: str, share: int) -> Column:
+    """100 * intersection >= share * union."""
+    common = F.size(F.array_intersect(x, y)).cast("long")
+    return 100 * common >= share * (F.size(x) + F.size(y) - common)
 
 
 def confirmed(pairs: DataFrame, source: DataFrame, places: DataFrame, width: int, share: int) -> DataFrame:
-    """Of pairs (a, b) those with 100 * intersection >= share * union, on full sets made anew from one text of each."""
+    """The pairs (a, b) that are linked."""
     pairs = keep(pairs, "cp-pairs")
-    used = pairs.select(F.col("a").alias("v")).unionByName(pairs.select(F.col("b").alias("v"))).distinct()
-    used = keep(places.join(used, "v"), "cp-used").withColumnsRenamed({"doc_id": "at", "text_hash": "hash"})
-    texts = source.join(used, source["doc_id"].eqNullSafe(used["at"]) & (source["text_hash"] == used["hash"])).select("v", "text")
-    sets = keep(texts.mapInArrow(partial(_sets, width=width), "v long, shared array<long>").dropDuplicates(["v"]), "cp-sets")
+    sets = full_sets(pairs.select(F.explode(F.array("a", "b")).alias("v")), source, places, width)
     both = pairs.join(sets.select(F.col("v").alias("a"), F.col("shared").alias("x")), "a").join(sets.select(F.col("v").alias("b"), F.col("shared").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y")).cast("long")
-    return keep(both.where(100 * common >= share * (F.size("x") + F.size("y") - common)).select("a", "b"), "cp-links")
+    return keep(both.where(linked("x", "y", share)).select("a", "b"), "cp-links")
+
+
+def across(rows: DataFrame, threshold: float, more: Column | None = None) -> DataFrame:
+    """Pairs (a, b) of rows (node, v, label, sketch) of one node in two components whose sketches are alike, and of which `more` holds."""
+    x, y = rows.alias("x"), rows.alias("y")
+    on = (F.col("x.node") == F.col("y.node")) & (F.col("x.v") > F.col("y.v")) & (F.col("x.label") != F.col("y.label")) & alike("x", "y", threshold)
+    return x.join(y, on if more is None else on & more).select(F.col("x.v").alias("a"), F.col("y.v").alias("b"))
 
 
 def near_duplicates(df: DataFrame, width: int = 5, share: int = 80, id: str = "doc_id", text: str = "text", trees: int = TREES, small: int = SMALL, levels: int = LEVELS, seed: int = SEED, columns: tuple[str, ...] = ()) -> DataFrame:
@@ -124,7 +150,7 @@ def near_duplicates(df: DataFrame, width: int = 5, share: int = 80, id: str = "d
     threshold = share / 100
     words = F.col(f"`{text}`").cast("string")
     source = df.select(F.col(f"`{id}`").cast("long").alias("doc_id"), F.xxhash64(words).alias("text_hash"), words.alias("text"))
-    rows = keep(source.mapInArrow(partial(_sketched, width=width), "doc_id long, text_hash long, n_shingles long, v long, tokens array<int>, s0 long, s1 long, s2 long, s3 long"), "cp-rows")
+    rows = keep(source.mapInArrow(partial(_sketched, width=width), "doc_id long, text_hash long, n_shingles long, v long, tokens array<int>, " + ", ".join(f"{c} long" for c in SKETCH)), "cp-rows")
     some = rows.where("v is not null")
     # one row stands for each set; its text is found again by its id and the text's hash
     firsts = keep(some.groupBy("v").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "text_hash", *SKETCH)).alias("s")).select("v", "first_id", "s.*"), "cp-firsts")
@@ -136,31 +162,50 @@ def near_duplicates(df: DataFrame, width: int = 5, share: int = 80, id: str = "d
         a, b = sketches.select(F.col("v").alias("a"), F.struct(*SKETCH).alias("x")), sketches.select(F.col("v").alias("b"), F.struct(*SKETCH).alias("y"))
         return pairs.join(a, "a").join(b, "b").where(alike("x", "y", threshold)).select("a", "b")
 
-    met = shared(roots(sets, trees, seed))
-    stars = met.where("v <> low").select(F.col("v").alias("a"), F.col("low").alias("b")).distinct()
+    first = roots(sets, trees, seed)
+    # a different set for each node: the least after its bits are mixed with the node's
+    counts = keep(first.groupBy("node").agg(F.count("*").alias("n"), F.min(F.col("v").bitwiseXOR(F.xxhash64("node"))).alias("low")).where("n > 1").withColumn("low", F.col("low").bitwiseXOR(F.xxhash64("node"))), "cp-counts")
+    met = keep(first.join(counts, "node"), "cp-roots")
+    stars = met.where("v <> low").select(F.greatest("v", "low").alias("a"), F.least("v", "low").alias("b")).distinct()
     links = confirmed(passing(stars), source, places, width, share)
-    labels = components(links, "cp-components")
+
+    def labelled(links: DataFrame) -> DataFrame:
+        labels = components(links, "cp-components")
+        return keep(met.where("n > 2").select("node", "v").join(labels, "v", "left").select("node", "v", F.coalesce("label", "v").alias("label")), "cp-marked")
+
+    nodes = still_open(labelled(links))
+    degrees = keep(links.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count("*").alias("degree")), "cp-degrees")
+    ranked = keep(nodes.join(degrees, "v", "left").join(sketches, "v").select("node", "v", "label", F.coalesce("degree", F.lit(0)).alias("degree"), F.struct(*SKETCH).alias("s")), "cp-ranked")
+    hubs = keep(ranked.groupBy("node", F.pmod(F.xxhash64("v"), F.lit(HUBS)).alias("part")).agg(F.max(F.struct("degree", "v", "label", "s")).alias("hub")).select("node", F.col("hub.v").alias("hub"), F.col("hub.label").alias("hub_label"), F.col("hub.s").alias("t")), "cp-hubs")
+    spokes = ranked.join(hubs, (ranked["node"] == hubs["node"]) & (F.col("label") != F.col("hub_label")) & alike("s", "t", threshold)).select(F.greatest("v", "hub").alias("a"), F.least("v", "hub").alias("b")).distinct()
+    links = links.unionByName(confirmed(spokes, source, places, width, share))
+    rows_of = labelled(links)
     found: list[DataFrame] = []
+    before = math.inf
     for level in range(1, levels + 1):
-        marked = keep(met.join(labels, "v", "left").select("node", "v", "n", "low", F.coalesce("label", "v").alias("label")), "cp-marked")
-        unlike = keep(marked.groupBy("node").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("node"), "cp-open")
-        open_rows = keep(marked.join(unlike, "node"), "cp-unlike")
-        few = open_rows if level == levels else open_rows.where(F.col("n") <= small)
-        few = keep(few.select("node", "v", "label").join(sketches, "v"), "cp-few")
-        x, y = few.alias("x"), few.alias("y")
-        found.append(x.join(y, (F.col("x.node") == F.col("y.node")) & (F.col("x.v") > F.col("y.v")) & (F.col("x.label") != F.col("y.label")) & alike("x", "y", threshold)).select(F.col("x.v").alias("a"), F.col("y.v").alias("b")))
-        many = open_rows.where(F.col("n") > small)
-        if level == levels or not many.take(1):
+        nodes = still_open(rows_of)
+        found.append(keep(across(nodes.where(F.col("n") <= small).select("node", "v", "label").join(sketches, "v"), threshold).distinct(), "cp-found"))
+        many = nodes.where(F.col("n") > small)
+        left = many.count()
+        if not left:
+            break
+        if level == levels or left > before * THINNER:
+            sets_of = full_sets(many.select("v"), source, places, width)
+            # a set is in a few nodes of each tree; two sets are compared in the first node that they share
+            among = many.groupBy("v").agg(F.collect_list("node").alias("nodes"))
+            dense = keep(many.select("node", "v", "label").join(among, "v").join(sketches, "v").join(sets_of, "v"), "cp-dense")
+            once = F.col("x.node") == F.array_min(F.array_intersect("x.nodes", "y.nodes"))
+            links = links.unionByName(keep(across(dense, threshold, once & linked("x.shared", "y.shared", share)), "cp-links"))
             break
-        if level > 1:  # the first level's are confirmed already
-            found.append(passing(many.where("v <> low").select(F.col("v").alias("a"), F.col("low").alias("b")).distinct()))
-        met = shared(branched(many.select("node", "v"), sets))
+        before = left
+        if level == 1:
+            many = keep(many.select("node", "v", "label").join(sets, "v"), "cp-many")
+        rows_of = branched(many)
     more = found[0]
     for pairs in found[1:]:
         more = more.unionByName(pairs)
     more = confirmed(more.distinct(), source, places, width, share)
-    if more.take(1):
-        labels = components(links.unionByName(more), "cp-components")
+    labels = components(links.unionByName(more), "cp-components")
     named = keep(firsts.select("v", "first_id").join(labels, "v", "left").select("v", "first_id", F.coalesce("label", "v").alias("label")), "cp-named")
     smallest = keep(named.groupBy("label").agg(F.min("first_id").alias("component_id")), "cp-smallest")
     facts = keep(named.join(smallest, "label").select("v", "component_id"), "cp-facts")
