@@ -89,6 +89,34 @@ def entropy_of(data: Column) -> Column:
     return entropy(data)
 
 
+def byte_profile(data: Column) -> Column:
+    """Of a whole value: share of text bytes (printable, tab, line ends, or above 127 in valid UTF-8), and chi-square against equal bytes."""
+
+    @F.pandas_udf("text_share double, chi_square double")
+    def profile(values: pd.Series) -> pd.DataFrame:
+        def one(v: bytes | None) -> tuple[float, float]:
+            if not v:
+                return 0.0, 0.0
+            x = np.frombuffer(v, np.uint8)
+            n = np.bincount(x, minlength=256)
+            try:
+                v.decode()
+                high = int(n[128:].sum())
+            except UnicodeDecodeError:
+                high = 0
+            expected = len(x) / 256
+            return float(n[32:127].sum() + n[[9, 10, 13]].sum() + high) / len(x), float(((n - expected) ** 2 / expected).sum())
+
+        return pd.DataFrame([one(v) for v in values], columns=["text_share", "chi_square"])
+
+    return profile(data)
+
+
+def looks(profile: Column) -> Column:
+    """Text over a share of 0.85; random under a chi-square of 300; else binary."""
+    return F.when(profile["text_share"] > 0.85, "text").when(profile["chi_square"] < 300, "random").otherwise("binary")
+
+
 def type_of(data: Column, entropy: Column) -> Column:
     """By signature, then by entropy: over 7.5 compressed, under 4.5 text, else binary. Under 16 bytes unknown."""
     head = head_of(data)

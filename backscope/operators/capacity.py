@@ -91,7 +91,7 @@ def size_estimate(totals: DataFrame, level: int, mysql: Column) -> DataFrame:
     packed = F.floor(F.col("size_bytes") * (0.20 if level >= 6 else 0.25)).cast("long")
     speed = F.when(mysql, 100.0).otherwise(50.0)
     profile = F.when(gb < 1, "balanced").when(gb < 10, "performance").when(gb < 100, "turbo").otherwise("conservative")
-    return totals.select("*", packed.alias("compressed"), F.round(gb * 1024 / speed, 6).alias("seconds"), profile.alias("profile"), (packed * 3).alias("disk_needed"))
+    return totals.select("*", packed.alias("compressed"), F.round(gb * 1024 / speed, 11).alias("seconds"), profile.alias("profile"), (packed * 3).alias("disk_needed"))
 
 
 def buffered_estimate(size: Column) -> Column:

@@ -65,7 +65,7 @@ def cheapest(b: DataFrame) -> DataFrame:
 
 @query("x29_size_estimate", "tables", sql="""
 t AS (SELECT schema, sum(size_bytes)::BIGINT AS size_bytes FROM tables GROUP BY schema)
-SELECT schema, size_bytes, floor(size_bytes * 0.2::DOUBLE)::BIGINT AS compressed, round(size_bytes / 1073741824.0::DOUBLE * 1024 / CASE WHEN schema LIKE '%1' THEN 100 ELSE 50 END, 6) AS seconds, CASE WHEN size_bytes < 1073741824 THEN 'balanced' WHEN size_bytes < 10737418240 THEN 'performance' WHEN size_bytes < 107374182400 THEN 'turbo' ELSE 'conservative' END AS profile, floor(size_bytes * 0.2::DOUBLE)::BIGINT * 3 AS disk_needed FROM t""")
+SELECT schema, size_bytes, floor(size_bytes * 0.2::DOUBLE)::BIGINT AS compressed, round(size_bytes / 1073741824.0::DOUBLE * 1024 / CASE WHEN schema LIKE '%1' THEN 100 ELSE 50 END, 11) AS seconds, CASE WHEN size_bytes < 1073741824 THEN 'balanced' WHEN size_bytes < 10737418240 THEN 'performance' WHEN size_bytes < 107374182400 THEN 'turbo' ELSE 'conservative' END AS profile, floor(size_bytes * 0.2::DOUBLE)::BIGINT * 3 AS disk_needed FROM t""")
 def estimate(t: DataFrame) -> DataFrame:
     return c.size_estimate(t.groupBy("schema").agg(F.sum("size_bytes").alias("size_bytes")), 6, F.col("schema").like("%1"))
 

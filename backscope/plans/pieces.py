@@ -190,3 +190,33 @@ def sample(x: DataFrame) -> DataFrame:
 
     few = x.select("blob_id", F.octet_length("data").cast("long").alias("size"), F.rand(7).alias("r")).orderBy("r").limit(200)
     return few.withColumn("total", F.sum("size").over(Window.orderBy("r"))).where("total <= 1048576").select("blob_id", "size")
+
+
+@query("x18_byte_profile", "blobs")
+def byte_profile(x: DataFrame) -> DataFrame:
+    p = x.select("blob_id", b.byte_profile(F.col("data")).alias("p"))
+    return p.select("blob_id", F.round("p.text_share", 6).alias("text_share"), F.round("p.chi_square", 3).alias("chi_square"), b.looks(F.col("p")).alias("looks"))
+
+
+@query("s15_object_packs", "blobs", sql="SELECT count(*) AS objects, sum(octet_length(data))::BIGINT AS bytes, sum(blob_id)::BIGINT AS ids FROM blobs")
+def packs(x: DataFrame) -> DataFrame:
+    """What all packs hold together; the packs' own cuts follow ranges."""
+    from ..sources.archives import pack_objects
+
+    p = pack_objects(x)
+    e = p.select(F.explode("toc").alias("e"))
+    return e.agg(F.count("*").alias("objects"), F.sum("e.length").alias("bytes"), F.sum("e.id").alias("ids"))
+
+
+@query("s11_archive_round_trip", "blobs", sql="SELECT grp, count(*) AS entries, sum(octet_length(data))::BIGINT AS bytes, min(sha256(data)) AS least_hash FROM blobs GROUP BY grp")
+def archives(x: DataFrame) -> DataFrame:
+    """Archives of 200 values at most, written to bytes and read again."""
+    from ..sources.archives import round_trip
+
+    return round_trip(x).groupBy("grp").agg(F.count("*").alias("entries"), F.sum(F.octet_length("data")).cast("long").alias("bytes"), F.min(F.sha2("data", 256)).alias("least_hash"))
+
+
+@query("d6_latest_manifest", "chunk_refs", sql="SELECT database, max(manifest) AS manifest, count(*) FILTER (manifest = m) AS refs FROM (SELECT *, max(manifest) OVER (PARTITION BY database) AS m FROM chunk_refs) GROUP BY database")
+def latest_manifest(r: DataFrame) -> DataFrame:
+    per = r.groupBy("database", "manifest").agg(F.count("*").alias("refs"))
+    return per.groupBy("database").agg(F.max(F.struct("manifest", "refs")).alias("m")).select("database", "m.manifest", "m.refs")

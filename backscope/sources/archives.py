@@ -79,6 +79,23 @@ def read_archives(spark: SparkSession, path: str, with_data: bool = True) -> Dat
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(partial(_entries, with_data=with_data), ENTRIES)
 
 
+def _round_trip(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for first in range(0, batch.num_rows, most):
+            part = batch.slice(first, most)
+            rows = list(zip(*(c.to_pylist() for c in part.columns), strict=True))
+            archive = pack([({"dump_id": i, "tag": g, "section": 2}, d or b"") for i, g, d in rows])
+            back = [(e["dump_id"], e["tag"], block(archive, e)) for e in contents(archive)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*back, strict=True), (pa.int64(), pa.string(), pa.binary()), strict=True)], ["blob_id", "grp", "data"])
+
+
+def round_trip(blobs: DataFrame, most: int = 200) -> DataFrame:
+    """blob_id, grp, data: packed into archives of at most that many entries, and read back from their bytes."""
+    from functools import partial
+
+    return blobs.select("blob_id", "grp", "data").mapInArrow(partial(_round_trip, most=most), "blob_id long, grp string, data binary")
+
+
 class ArchiveSource(DataSource):
     """`spark.read.format("bsar").load(path)`: entries of one archive, a partition for each, from a path that Python opens."""
 
