@@ -23,22 +23,32 @@ def _keys(ts: str = "created_at") -> dict[str, Column]:
     return {"w": x.iso_week(F.col(ts)), "m": F.date_format(ts, "yyyy-MM"), "y": F.date_format(ts, "yyyy")}
 
 
+def _first(df: DataFrame, n: int, by: Sequence[str], *order: Column) -> DataFrame:
+    """The first n rows of each group, or of all: a limit before the shuffle, not a rank of every row."""
+    if not by:
+        return df.orderBy(*order).limit(n)
+    return df.withColumn("__n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("__n") <= n).drop("__n")
+
+
+def _named(rows: DataFrame, kept: Sequence[tuple[str, DataFrame]]) -> DataFrame:
+    """rows with the first tier that keeps each (by id), '' if none does. What is kept is a few rows for each group."""
+    places = None
+    for rank, (tier, ids) in enumerate(kept):
+        one = ids.select("id", F.struct(F.lit(rank).alias("rank"), F.lit(tier).alias("tier")).alias("t"))
+        places = one if places is None else places.unionByName(one)
+    best = places.groupBy("id").agg(F.min("t").alias("t"))
+    return rows.join(best, "id", "left").withColumn("tier", F.coalesce("t.tier", F.lit(""))).drop("t")
+
+
 def gfs_catalog(catalog: DataFrame, keep: Tiers, per_database: bool = False, statuses: Sequence[str] = ("completed", "verified")) -> DataFrame:
     """Daily: the newest backups. Weekly, monthly, yearly: the oldest backup of each of the newest weeks, months, years; a place counts as spent though its backup is kept already. The first tier names it; '' is to be deleted."""
     by = ["database"] if per_database else []
-    c = catalog.where(F.col("status").isin(*statuses)).select("id", "database", "size_bytes", "created_at", *[k.alias(f"key_{n}") for n, k in _keys().items()])
-    whole = Window.partitionBy(*by) if by else Window.partitionBy()
-    c = c.withColumn("rank_d", F.row_number().over(whole.orderBy(F.col("created_at").desc(), F.col("id").desc())))
-    for n in "wmy":
-        bucket = Window.partitionBy(*by, f"key_{n}")
-        c = c.withColumn(f"old_{n}", F.row_number().over(bucket.orderBy("created_at", "id"))).withColumn(f"new_{n}", F.max("created_at").over(bucket))
-    for n in "wmy":
-        c = c.withColumn(f"rank_{n}", F.dense_rank().over(whole.orderBy(F.col(f"new_{n}").desc(), f"key_{n}")))
-    def first(n: str, most: int) -> Column:
-        return (F.col(f"old_{n}") == 1) & (F.col(f"rank_{n}") <= most)
-
-    tier = F.when(F.col("rank_d") <= keep.daily, "daily").when(first("w", keep.weekly), "weekly").when(first("m", keep.monthly), "monthly").when(first("y", keep.yearly), "yearly").otherwise("")
-    return c.select("id", "database", "size_bytes", tier.alias("tier"))
+    c = catalog.where(F.col("status").isin(*statuses)).select("id", "database", "size_bytes", "created_at")
+    kept = [("daily", _first(c, keep.daily, by, F.col("created_at").desc(), F.col("id").desc()))]
+    for tier, key, most in (("weekly", "w", keep.weekly), ("monthly", "m", keep.monthly), ("yearly", "y", keep.yearly)):
+        buckets = c.groupBy(*by, _keys()[key].alias("key")).agg(F.max("created_at").alias("newest"), F.min(F.struct("created_at", "id"))["id"].alias("id"))
+        kept.append((tier, _first(buckets, most, by, F.col("newest").desc(), F.col("key"))))
+    return _named(c, kept).select("id", "database", "size_bytes", "tier")
 
 
 def _on_day(ts: Column, day: int) -> Column:
@@ -55,18 +65,12 @@ def gfs_files(files: DataFrame, keep: Tiers, weekly_day: int = 0, monthly_day: i
     """Of the qualifying files the newest of each of the newest days, weeks, months, years; counted for the first tier that keeps it."""
     ts = F.col("created_at")
     month = _on_day(ts, monthly_day)
-    keys = {"d": F.date_format(ts, "yyyy-MM-dd"), **_keys()}
-    fits = {"d": F.lit(True), "w": x.weekday(ts) == weekly_day, "m": month, "y": month & (F.month(ts) == 1)}
-    f = files.select("id", "backup_path", "created_at", *[k.alias(f"key_{n}") for n, k in keys.items()], *[q.alias(f"fits_{n}") for n, q in fits.items()])
-    for n in keys:
-        f = f.withColumn(f"newest_{n}", F.row_number().over(Window.partitionBy(f"key_{n}", f"fits_{n}").orderBy(F.col("created_at").desc(), F.col("id").desc())))
-    for n in keys:
-        f = f.withColumn(f"rank_{n}", F.dense_rank().over(Window.partitionBy(f"fits_{n}").orderBy(F.col(f"key_{n}").desc())))
-    def first(n: str, most: int) -> Column:
-        return F.col(f"fits_{n}") & (F.col(f"newest_{n}") == 1) & (F.col(f"rank_{n}") <= most)
-
-    tier = F.when(first("d", keep.daily), "daily").when(first("w", keep.weekly), "weekly").when(first("m", keep.monthly), "monthly").when(first("y", keep.yearly), "yearly").otherwise("")
-    return f.select("id", "backup_path", tier.alias("tier"))
+    f = files.select("id", "backup_path", "created_at")
+    kept = []
+    for tier, key, fits, most in (("daily", F.date_format(ts, "yyyy-MM-dd"), F.lit(True), keep.daily), ("weekly", _keys()["w"], x.weekday(ts) == weekly_day, keep.weekly), ("monthly", _keys()["m"], month, keep.monthly), ("yearly", _keys()["y"], month & (F.month(ts) == 1), keep.yearly)):
+        buckets = f.where(fits).groupBy(key.alias("key")).agg(F.max(F.struct("created_at", "id"))["id"].alias("id"))
+        kept.append((tier, _first(buckets, most, (), F.col("key").desc())))
+    return _named(f, kept).select("id", "backup_path", "tier")
 
 
 def age_policy(files: DataFrame, days: int, minimum: int, as_of: str, by: Sequence[str] = ("database",)) -> DataFrame:

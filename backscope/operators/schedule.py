@@ -33,10 +33,23 @@ class Schedule:
     rpo: int
 
 
+def followed(rows: DataFrame, span: str = "month") -> DataFrame:
+    """rows with `next`, the time of the next row of their database, and `n`, its number of rows.
+
+    A database may hold a third of all rows, so a window takes a database's rows of one span only; what follows a span's
+    last row is the first of the next span that has any, found among the spans' sums.
+    """
+    rows = rows.withColumn("__span", F.date_trunc(span, "created_at"))
+    inside = rows.withColumn("__next", F.lead("created_at").over(Window.partitionBy("database", "__span").orderBy("created_at", "id")))
+    spans = rows.groupBy("database", "__span").agg(F.min("created_at").alias("__first"), F.count("*").alias("__rows"))
+    whole = Window.partitionBy("database")
+    spans = spans.select("database", "__span", F.lead("__first").over(whole.orderBy("__span")).alias("__after"), F.sum("__rows").over(whole).alias("n"))
+    return inside.join(spans, ["database", "__span"]).withColumn("next", F.coalesce("__next", "__after")).drop("__span", "__next", "__after")
+
+
 def gaps(catalog: DataFrame, plan: Schedule, as_of: str, statuses: Sequence[str] = GOOD) -> DataFrame:
-    """Intervals longer than expected, up to the reference time after the last; none for a database with fewer than two rows. One window serves all databases."""
-    w = Window.partitionBy("database").orderBy("created_at", "id")
-    every = _good(catalog, statuses).select("database", "id", "created_at", F.lead("created_at").over(w).alias("next"), F.count("*").over(Window.partitionBy("database")).alias("n"))
+    """Intervals longer than expected, up to the reference time after the last; none for a database with fewer than two rows. One plan serves all databases."""
+    every = followed(_good(catalog, statuses).select("database", "id", "created_at"))
     end = F.coalesce("next", _now(as_of))
     length = x.seconds(F.col("created_at"), end)
     severity = F.when(length > plan.rpo, "critical").when(length > 2 * plan.interval, "warning").otherwise("info")
@@ -52,8 +65,7 @@ def rpo_status(catalog: DataFrame, interval: int, as_of: str, statuses: Sequence
 
 def frequency(catalog: DataFrame, interval: int, as_of: str, statuses: Sequence[str] = GOOD) -> DataFrame:
     """Intervals between backups, their deviation and regularity (1 - deviation / mean, 0 at least), gaps and missed backups."""
-    w = Window.partitionBy("database").orderBy("created_at", "id")
-    steps = _good(catalog, statuses).select("database", "created_at", x.seconds(F.lag("created_at").over(w), F.col("created_at")).alias("step"))
+    steps = followed(_good(catalog, statuses).select("database", "id", "created_at")).select("database", "created_at", x.seconds(F.col("created_at"), F.col("next")).alias("step"))
     a = steps.groupBy("database").agg(F.count("*").alias("total"), x.seconds(F.min("created_at"), F.max("created_at")).alias("period"), F.sum("step").alias("sum"), F.min("step").alias("min_interval"), F.max("step").alias("max_interval"), F.stddev_pop("step").alias("dev"))
     found = gaps(catalog, Schedule(interval, interval // 4, 2 * interval), as_of, statuses).groupBy("database").agg(F.count("*").alias("gaps"))
     mean = F.col("sum") / (F.col("total") - 1)
@@ -107,8 +119,8 @@ def recommendations(analysis: DataFrame) -> DataFrame:
 
 def history(catalog: DataFrame, plan: Recovery, as_of: str, statuses: Sequence[str] = GOOD) -> DataFrame:
     """For each backup its recovery time and the time to the next one."""
-    w = Window.partitionBy("database").orderBy("created_at", "id")
-    return _good(catalog, statuses).select("database", "id", F.round(plan.download() + plan.restore() + plan.fixed(), 6).alias("rto_seconds"), x.seconds(F.col("created_at"), F.coalesce(F.lead("created_at").over(w), _now(as_of))).alias("rpo_seconds"))
+    every = followed(_good(catalog, statuses).select("database", "id", "created_at", F.round(plan.download() + plan.restore() + plan.fixed(), 6).alias("rto_seconds")))
+    return every.select("database", "id", "rto_seconds", x.seconds(F.col("created_at"), F.coalesce("next", _now(as_of))).alias("rpo_seconds"))
 
 
 def summary(analysis: DataFrame) -> DataFrame:
