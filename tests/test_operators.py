@@ -2,7 +2,6 @@
 
 import datetime as dt
 import json
-import math
 import os
 import random
 
@@ -56,6 +55,21 @@ def test_age_policy_keeps_the_minimum(spark):
     assert [r.decision for r in out] == ["keep", "keep", "delete"]
 
 
+def test_gaps_cross_spans_and_ties(spark):
+    """Rows months apart, and equal times, against a plain loop."""
+    r = random.Random(7)
+    rows = [(i, r.choice("xyz"), NOW - dt.timedelta(hours=r.choice([1, 5, 40, 900, 901]) * r.randint(0, 30)), "completed") for i in range(120)]
+    got = {(g.database, g.id): (g.gap_seconds, g.is_tail) for g in schedule.gaps(spark.createDataFrame(rows, "id long, database string, created_at timestamp_ntz, status string"), schedule.Schedule(86400, 0, 172800), str(NOW + DAY)).collect()}
+    want = {}
+    for name in "xyz":
+        own = sorted((t, i) for i, d, t, _ in rows if d == name)
+        for (t, i), after in zip(own, [t for t, _ in own[1:]] + [None], strict=True):
+            length = int(((after or NOW + DAY) - t).total_seconds())
+            if length > 86400:
+                want[(name, i)] = (length, after is None)
+    assert got == want
+
+
 def test_search_of_wildcards_and_states(spark):
     b = backups(spark, range(4)).withColumn("verified_at", F.when(F.col("id") < 2, F.col("created_at"))).withColumn("verify_valid", F.when(F.col("id") < 2, F.col("id") == 0))
     assert [r.id for r in cat.search(b, cat.Search("d*", verified=True)).collect()] == [0]
@@ -144,10 +158,20 @@ def test_types_by_signature(spark):
     assert got == ["compressed", "text", "unknown", "text", "compressed", "compressed"]
 
 
-@settings(max_examples=40, deadline=None)
-@given(st.integers(0, 2**62))
-def test_half_even_ties(n):
-    assert math.floor(n / 1024) >= 0
+@settings(max_examples=60, deadline=None)
+@given(st.binary(max_size=300), st.integers(1, 400))
+def test_cuts_cover_everything(part, times):
+    data = part * times
+    ends = chunks.cuts(data)
+    assert ends == sorted(set(ends)) and (ends[-1] if ends else 0) == len(data)
+    assert all(b - a <= chunks.LONGEST for a, b in zip([0, *ends], ends, strict=False))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.text("ab;'$ \n", max_size=20), st.integers(0, 3)), max_size=5))
+def test_archives_give_back_what_they_got(entries):
+    packed = archives.pack([({"tag": t, "section": k}, t.encode() * k) for t, k in entries])
+    assert [(e["tag"], archives.block(packed, e)) for e in archives.contents(packed)] == [(t, t.encode() * k) for t, k in entries]
 
 
 def test_scalars(spark):
@@ -238,6 +262,3 @@ def test_ema(spark):
     got = {r.key: r for r in events.ema_speed(spark.createDataFrame(rows, "key long, ts timestamp_ntz, seq long, delta long")).collect()}
     assert got[1].bytes_per_s == 1000 and got[1].warm and got[2].samples == 0
 
-
-def test_sampling_without_a_step(spark):
-    assert spark.range(10).where("true").count() == 10
