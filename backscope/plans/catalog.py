@@ -125,14 +125,14 @@ def present(b: DataFrame, f: DataFrame) -> DataFrame:
     return b.join(f.select(F.col("path").alias("backup_path")), "backup_path", "left_semi").select("id")
 
 
-@query("d1_insert", "backups", sql="SELECT id, backup_path FROM backups WHERE id % 2 = 0 UNION ALL SELECT id, backup_path FROM backups WHERE id % 3 = 0 AND id % 2 <> 0")
+@query("d1_insert", "backups", sql="SELECT id, backup_path FROM backups WHERE backup_type = 'full' OR encrypted")
 def insert(b: DataFrame) -> DataFrame:
-    return c.insert(b.where("id % 2 = 0"), b.where("id % 3 = 0")).select("id", "backup_path")
+    return c.insert(b.where("backup_type = 'full'"), b.where("backup_type = 'full' or encrypted")).select("id", "backup_path")
 
 
-@query("d2_update", "backups", sql="SELECT id, CASE WHEN id % 5 = 0 THEN size_bytes * 2 ELSE size_bytes END AS size_bytes, created_at FROM backups")
+@query("d2_update", "backups", sql="SELECT id, CASE WHEN status = 'failed' THEN 0 ELSE size_bytes END AS size_bytes, created_at FROM backups")
 def update(b: DataFrame) -> DataFrame:
-    changes = b.where("id % 5 = 0").select("id", (F.col("size_bytes") * 2).alias("size_bytes"), F.lit(AS_OF).cast("timestamp_ntz").alias("created_at"))
+    changes = b.where("status = 'failed'").select("id", F.lit(0).cast("long").alias("size_bytes"), F.lit(AS_OF).cast("timestamp_ntz").alias("created_at"))
     return c.update(b, changes, ["size_bytes", "created_at"]).select("id", "size_bytes", "created_at")
 
 
@@ -141,14 +141,14 @@ def delete(b: DataFrame) -> DataFrame:
     return c.delete(b, b.where("status = 'failed'")).select("id")
 
 
-@query("d4_mark_verified", "backups", sql=f"SELECT id, CASE WHEN id % 6 = 0 THEN CASE WHEN id % 4 = 0 THEN 'verified' ELSE 'corrupted' END ELSE status END AS status, CASE WHEN id % 6 = 0 THEN {NOW} ELSE verified_at END AS verified_at, CASE WHEN id % 6 = 0 THEN id % 4 = 0 ELSE verify_valid END AS verify_valid FROM backups")
+@query("d4_mark_verified", "backups", sql=f"SELECT id, CASE WHEN status = 'completed' THEN CASE WHEN sha256 IS NOT NULL THEN 'verified' ELSE 'corrupted' END ELSE status END AS status, CASE WHEN status = 'completed' THEN {NOW} ELSE verified_at END AS verified_at, CASE WHEN status = 'completed' THEN sha256 IS NOT NULL ELSE verify_valid END AS verify_valid FROM backups")
 def mark_verified(b: DataFrame) -> DataFrame:
-    return c.mark_verified(b, b.where("id % 6 = 0").select("id", (F.col("id") % 4 == 0).alias("valid")), AS_OF).select("id", "status", "verified_at", "verify_valid")
+    return c.mark_verified(b, b.where("status = 'completed'").select("id", F.col("sha256").isNotNull().alias("valid")), AS_OF).select("id", "status", "verified_at", "verify_valid")
 
 
-@query("d4_mark_drill_tested", "backups", sql=f"SELECT id, CASE WHEN id % 7 = 0 THEN {NOW} ELSE drill_tested_at END AS drill_tested_at, CASE WHEN id % 7 = 0 THEN id % 2 = 0 ELSE drill_success END AS drill_success FROM backups")
+@query("d4_mark_drill_tested", "backups", sql=f"SELECT id, CASE WHEN backup_type = 'full' THEN {NOW} ELSE drill_tested_at END AS drill_tested_at, CASE WHEN backup_type = 'full' THEN status <> 'failed' ELSE drill_success END AS drill_success FROM backups")
 def mark_drill(b: DataFrame) -> DataFrame:
-    return c.mark_drill_tested(b, b.where("id % 7 = 0").select("id", (F.col("id") % 2 == 0).alias("success")), AS_OF).select("id", "drill_tested_at", "drill_success")
+    return c.mark_drill_tested(b, b.where("backup_type = 'full'").select("id", (F.col("status") != "failed").alias("success")), AS_OF).select("id", "drill_tested_at", "drill_success")
 
 
 @query("s17_export", "backups", sql=f"""

@@ -121,9 +121,9 @@ def tree(t: DataFrame) -> DataFrame:
     return g.timeline_tree(t)
 
 
-@query("g6_backup_chain", "toc", sql="RECURSIVE up AS (SELECT dump_id AS id, dump_id AS link, depends_on AS base_id, 0 AS depth FROM toc WHERE dump_id % 50 = 0 UNION ALL SELECT u.id, t.dump_id, t.depends_on, u.depth + 1 FROM up u JOIN toc t ON t.dump_id = u.base_id) SELECT id, link, depth FROM up")
+@query("g6_backup_chain", "toc", sql="RECURSIVE up AS (SELECT dump_id AS id, dump_id AS link, depends_on AS base_id, 0 AS depth FROM toc UNION ALL SELECT u.id, t.dump_id, t.depends_on, u.depth + 1 FROM up u JOIN toc t ON t.dump_id = u.base_id) SELECT id, link, depth FROM up")
 def backup_chain(t: DataFrame) -> DataFrame:
-    return g.base_chain(t.select(F.col("dump_id").alias("id"), F.col("depends_on").alias("base_id")), F.col("id") % 50 == 0)
+    return g.base_chain(t.select(F.col("dump_id").alias("id"), F.col("depends_on").alias("base_id")), F.lit(True))
 
 
 def _lines(f: DataFrame) -> DataFrame:

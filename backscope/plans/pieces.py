@@ -27,14 +27,16 @@ def references(r: DataFrame) -> DataFrame:
     return c.references(r)
 
 
-@query("j5_orphan_chunks", "chunk_store", "chunk_refs", sql="SELECT hash, length FROM chunk_store WHERE hash NOT IN (SELECT hash FROM chunk_refs WHERE manifest % 2 = 0)")
+@query("j5_orphan_chunks", "chunk_store", "chunk_refs", sql="SELECT hash, length FROM chunk_store WHERE hash NOT IN (SELECT hash FROM chunk_refs WHERE database <> 'src3')")
 def orphans(s: DataFrame, r: DataFrame) -> DataFrame:
-    return c.orphans(s, r.where("manifest % 2 = 0")).select("hash", "length")
+    """Once a database's manifests are gone."""
+    return c.orphans(s, r.where("database <> 'src3'")).select("hash", "length")
 
 
-@query("h7_garbage", "chunk_store", "chunk_refs", sql="SELECT count(*) AS chunks, coalesce(sum(stored), 0)::BIGINT AS freed FROM chunk_store WHERE hash NOT IN (SELECT hash FROM chunk_refs WHERE manifest % 2 = 0)")
+@query("h7_garbage", "chunk_store", "chunk_refs", sql="SELECT count(*) AS chunks, coalesce(sum(stored), 0)::BIGINT AS freed FROM chunk_store WHERE hash NOT IN (SELECT hash FROM chunk_refs WHERE database <> 'src3')")
 def garbage(s: DataFrame, r: DataFrame) -> DataFrame:
-    return c.garbage(s, r.where("manifest % 2 = 0"))
+    """Once a database's manifests are gone."""
+    return c.garbage(s, r.where("database <> 'src3'"))
 
 
 @query("r8_manifest_prune", "chunk_store", "chunk_refs", sql="kept AS (SELECT * FROM chunk_refs WHERE manifest IN (SELECT manifest FROM chunk_refs GROUP BY manifest, database QUALIFY row_number() OVER (PARTITION BY database ORDER BY manifest DESC) <= 20)) SELECT (SELECT count(DISTINCT manifest) FROM kept) AS manifests_kept, count(*) AS chunks, coalesce(sum(stored), 0)::BIGINT AS freed FROM chunk_store WHERE hash NOT IN (SELECT hash FROM kept)")
