@@ -145,7 +145,7 @@ class Pieces:
             back[here] = np.logaddexp(back[here], padded[ids] + back[j])
 
 
-def by_length(data: np.ndarray, size: np.ndarray, rows: int = 20_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def by_length(data: np.ndarray, size: np.ndarray, rows: int = 8_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Words of one length, at most so many: which they are, and their bytes with a space before each."""
     start = np.cumsum(size) - size
     order = np.argsort(size, kind="stable")
