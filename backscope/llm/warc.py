@@ -88,7 +88,10 @@ class Roll:
         if self.out is None:
             return None
         self.out.close()
-        self.fs.move(self.temporary, f"{self.folder}/{self.name}")
+        final = f"{self.folder}/{self.name}"
+        if self.fs.get_file_info(final).type != pafs.FileType.NotFound:
+            self.fs.delete_file(final)  # another attempt's, of the same bytes
+        self.fs.move(self.temporary, final)
         self.out, self.number = None, self.number + 1
         return self.shard, self.name, self.records, self.size, self.sum.hexdigest(), self.first, self.last
 
