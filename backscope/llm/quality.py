@@ -63,7 +63,9 @@ def classify(df: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "
     names = [F.col(f"`{id}`").alias("doc_id"), *[F.col(f"`{c}`") for c in columns if c != id]]
     places = [F.concat(F.when(F.col(f"`{c}`").isNull(), "n").otherwise("s"), F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))) for c in (host, path)]
     told = labels.select(F.col(f"`{id}`").alias("__label_id"), F.col(f"`{label}`").cast("int").alias("__good")).where("__label_id is not null and __good is not null")
-    known = df.select(F.col(f"`{id}`").alias("__id"), places[0].alias("__host"), places[1].alias("__path"), *traits(F.col(f"`{text}`"))).join(told, F.col("__id") == F.col("__label_id"))
+    # texts are read once for this, and once more only if columns are to come along
+    told_of = keep(df.select(F.col(f"`{id}`").alias("__id"), places[0].alias("__host"), places[1].alias("__path"), *[c.alias(f"__{t}") for c, t in zip(traits(F.col(f"`{text}`")), TRAITS, strict=True)]), "quality-traits")
+    known = told_of.withColumnsRenamed({f"__{t}": t for t in TRAITS}).join(told, F.col("__id") == F.col("__label_id"))
     known = keep(known.select("__host", "__path", (F.col("__good") > 0).cast("int").alias("__good"), *TRAITS), "quality-known")
     total, good = known.agg(F.count("*"), F.coalesce(F.sum("__good"), F.lit(0))).first()
     share = (good + 1) / (total + 2)
@@ -82,7 +84,7 @@ def classify(df: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "
         return n[1] - n[0]
 
     evidence = reduce(Column.__add__, [F.element_at(F.array(*[F.lit(ratio(t, b)) for b in range(BINS)]), F.col(f"__{t}") + 1) for t in TRAITS])
-    rows = df.select(*names, places[0].alias("__host"), places[1].alias("__path"), *[c.alias(f"__{t}") for c, t in zip(traits(F.col(f"`{text}`")), TRAITS, strict=True)])
+    rows = told_of.withColumnRenamed("__id", "doc_id") if not columns else df.select(*names, places[0].alias("__host"), places[1].alias("__path"), *[c.alias(f"__{t}") for c, t in zip(traits(F.col(f"`{text}`")), TRAITS, strict=True)])
     rows = rows.select(*[n for n in rows.columns if n[2:] not in TRAITS or n[:2] != "__"], evidence.alias("evidence"))
     for site, keys in ((hosts, ["__host"]), (paths, ["__host", "__path"])):
         rows = rows.join(F.broadcast(site) if site.count() <= SENT else site, keys, "left")
