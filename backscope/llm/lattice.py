@@ -17,6 +17,7 @@ scored, and counted, each on its own. An empty table gives an empty result; with
 from __future__ import annotations
 
 import base64
+import copy
 import math
 from collections.abc import Iterator
 from functools import lru_cache, partial
@@ -50,25 +51,33 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 class Pieces:
     """A vocabulary's pieces by the hash of their bytes, and natural logarithms of their probabilities."""
 
-    def __init__(self, raw: list[bytes], scores: np.ndarray | None = None) -> None:
+    def __init__(self, raw: list[bytes]) -> None:
         self.raw = raw
         # a piece with a space, or an upper-case letter, after its first byte can't be part of a lower-cased word
         self.longest = max((len(p) for p in raw if b" " not in p[1:] and p.translate(bytes(LOWER)) == p), default=1)
         self.power, self.inverse = _powers(max(self.longest, LONG) + 2)
-        self.sizes = sorted({len(p) for p in raw})
-        hashes = np.array([self.hash(p) for p in raw], np.uint64)
         self.shift, m = np.uint64(44), 1 << 20
         self.keys, self.ids = np.zeros(m + 64, np.uint64), np.full(m + 64, -1, np.int32)
-        for i, h in enumerate(hashes.tolist()):
+        for i, h in enumerate(self.hashes(raw).tolist()):
             slot = h >> 44
             while self.keys[slot]:
                 slot += 1
             self.keys[slot], self.ids[slot] = h, i
-        self.scores = -np.log(np.arange(1, len(raw) + 1)) - math.log(sum(1 / k for k in range(1, len(raw) + 2))) if scores is None else scores
+        self.scores = -np.log(np.arange(1, len(raw) + 1)) - math.log(sum(1 / k for k in range(1, len(raw) + 2)))
 
-    def hash(self, piece: bytes) -> int:
-        b = np.frombuffer(piece, np.uint8)
-        return int(mixed(np.array([np.sum(_RANDOM[b] * _powers(len(b))[0], dtype=np.uint64) + np.uint64(len(b))], np.uint64))[0])
+    def scored(self, scores: np.ndarray | None) -> Pieces:
+        """The same pieces with other probabilities."""
+        out = copy.copy(self)
+        out.scores = self.scores if scores is None else scores
+        return out
+
+    @staticmethod
+    def hashes(raw: list[bytes]) -> np.ndarray:
+        size = np.array([len(p) for p in raw])
+        end = np.cumsum(size)
+        place = np.arange(end[-1]) - np.repeat(end - size, size)
+        weighed = _RANDOM[np.frombuffer(b"".join(raw), np.uint8)] * _powers(int(size.max()))[0][place]
+        return mixed(np.add.reduceat(weighed, end - size) + size.astype(np.uint64))
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """The id of each hash, -1 where there is no such piece."""
@@ -246,9 +255,13 @@ def _shards(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Reco
             number += 1
 
 
-@lru_cache(2)
+@lru_cache(1)
+def vocabulary_of(content: bytes) -> Pieces:
+    return Pieces([base64.b64decode(line.split()[0]) for line in content.splitlines()])
+
+
 def pieces_of(content: bytes, scores: bytes | None) -> Pieces:
-    return Pieces([base64.b64decode(line.split()[0]) for line in content.splitlines()], None if scores is None else np.frombuffer(scores))
+    return vocabulary_of(content).scored(None if scores is None else np.frombuffer(scores))
 
 
 BUCKETS = "bucket long, distinct long, counts binary, sizes binary, letters binary, shards array<long>, places array<binary>, locals array<binary>"
