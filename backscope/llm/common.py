@@ -120,7 +120,7 @@ def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
     return np.unique(mixed(total))
 
 
-def shingle_sets(column: pa.Array, width: int, most: int = 1 << 20) -> Iterator[np.ndarray]:
+def shingle_sets(column: pa.Array, width: int, most: int = 1 << 18) -> Iterator[np.ndarray]:
     """The shingle set of each text of a column, whole texts in runs of about that many bytes."""
     data, at = strings(column)
     for i, j in slices(at, most):
