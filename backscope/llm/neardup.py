@@ -49,6 +49,13 @@ def minwise(values: np.ndarray) -> np.ndarray:
     return out
 
 
+def sketch_bits(least: np.ndarray) -> np.ndarray:
+    """One bit of each least value, by all of its bits: the low bit alone of a low half is the shingle's own in every order."""
+    x = (least ^ (least >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+    x = (x ^ (x >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    return (x >> np.uint32(31)).astype(np.uint8)
+
+
 def _sketched(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """Rows (doc_id, text_hash, text) with the size of their set, its key, tokens and sketch in place of the text."""
     for batch in batches:
@@ -60,7 +67,7 @@ def _sketched(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Reco
                 continue
             least = minwise(values)
             key.append(set_key(values)), tokens.append(least[1::2][:TOKENS])
-            bits.append(np.packbits(least & 1).view(np.int64).tolist())
+            bits.append(np.packbits(sketch_bits(least)).view(np.int64).tolist())
         listed = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, tokens)]), pa.int32()), pa.array(np.concatenate(tokens).view(np.int32) if tokens else [], pa.int32()))
         sketch = [pa.array(c, pa.int64()) for c in (zip(*bits, strict=True) if bits else [[]] * 16)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(key, pa.int64()), listed, *sketch], ["doc_id", "text_hash", "n_shingles", "v", "tokens", *SKETCH])

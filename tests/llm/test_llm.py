@@ -165,6 +165,23 @@ def test_near_duplicates_of_a_hot_group(spark):
     assert got == dict(enumerate(label))
 
 
+def test_sketches_of_small_sets_at_the_threshold():
+    """Of 6000 pairs of 4 to 20 shingles whose similarity is exactly 0.8 the filter rejects none, whichever shingles differ."""
+    r = np.random.default_rng(3)
+    most = 1024 - math.floor(1024 * 0.9 - neardup.SLACK * math.sqrt(1024 * 0.9 * 0.1))
+    texts, pairs = [], 6000
+    for k in range(pairs):
+        n = 1 + k % 4
+        words = [f"w{x}" for x in r.integers(0, 2**62, 5 * n)]
+        own = int(r.integers(0, n + 1))
+        texts += [" ".join(words[: 4 * n + own]), " ".join(words[: 4 * n] + words[4 * n + own :])]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["doc_id", "text_hash", "text"])
+    (out,) = neardup._sketched(iter([batch]), 1)
+    bits = np.stack([out.column(c).to_numpy() for c in neardup.SKETCH], axis=1)
+    differ = np.bitwise_count((bits[::2] ^ bits[1::2]).view(np.uint64)).sum(axis=1)
+    assert len(differ) == pairs and (differ <= most).all()
+
+
 def test_near_duplicates_of_nothing(empty):
     assert neardup.near_duplicates(empty).collect() == []
 
