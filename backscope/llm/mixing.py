@@ -2,8 +2,9 @@
 
 Targets: sources share the mix by weight; none gets more than `most` times its size, and what exceeds that is shared anew
 by weight among the others. Blocks of equal numbers of words are the seats: they go to the sources by highest quotients
-target / (2k + 1), and each source's blocks go to its shards likewise, by the shards' words. A shard of a source is a ring
-of its documents in a seeded order; its quota is whole turns of the ring, and then blocks from a seeded start on.
+target / (2k + 1), and each source's blocks go to its shards likewise, by the shards' words. No shard gets more than `most`
+times its words; what exceeds that goes to the source's other shards, by the words that they can still take. A shard of a source
+is a ring of its documents in a seeded order; its quota is whole turns of the ring, and then words from a seeded start on.
 
 A null text has no words and is never taken. Sources go by code point, null last, a source of its own. Documents of one
 id, or wholly equal ones, are documents of their own. An empty table gives an empty result; where no document has words,
@@ -46,6 +47,20 @@ def apportioned(df: DataFrame, seats: Column, weight: Column, by: list[str], ord
     return ranked.groupBy(*names).agg((F.first("__base") + F.count_if((F.col("__rank") <= left) & (F.col("__w") > 0))).cast("long").alias(out)).select(*names, out)
 
 
+def bounded(df: DataFrame, by: str, order: str) -> DataFrame:
+    """df with no quota above its cap: what exceeds caps goes to the group's other rows, in proportion to what they can still take, and is lost only where all are full."""
+    group = Window.partitionBy(by)
+    df = df.select("*", F.greatest(F.lit(0), F.col("cap") - F.col("quota")).alias("__room"), F.greatest(F.lit(0), F.col("quota") - F.col("cap")).alias("__over"))
+    df = df.select("*", F.sum("__room").over(group).alias("__rooms"), F.sum("__over").over(group).alias("__overs"), F.sum("__room").over(group.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)).alias("__upto"))
+
+    def given(upto: str) -> Column:
+        """Whole words of the excess up to there; exact, as products may exceed 64 bits."""
+        return F.expr(f"cast({upto} as decimal(19,0)) * cast(least(__overs, __rooms) as decimal(19,0)) div cast(greatest(__rooms, 1) as decimal(19,0))")
+
+    more = given("__upto") - given("(__upto - __room)")
+    return df.withColumn("quota", F.least("quota", "cap") + more).drop("__room", "__over", "__rooms", "__overs", "__upto")
+
+
 def targets(sources: DataFrame, most: int = 3, weights: int = 3) -> DataFrame:
     """sources: (source, source_size). Adds weight and target: min(most * size, level * weight) with one level for all, so that the targets sum to all sizes."""
     everything = Window.partitionBy(F.lit(0))
@@ -77,7 +92,8 @@ def mix(df: DataFrame, id: str = "doc_id", text: str = "text", source: str = "so
     key = F.concat(F.when(F.col("source").isNull(), "n").otherwise("s"), F.coalesce("source", F.lit(""))).alias("key")
     quota = cells.select(key, "shard", "words").join(sources.select(key, F.col("blocks"), "source_size", "target"), "key")
     quota = apportioned(quota, F.col("blocks"), F.col("words").cast("double"), ["key"], [F.col("shard")], "quota")
-    quota = quota.select("key", "shard", "words", "source_size", "target", F.least(F.col("quota") * block, F.col("words") * most).alias("quota"))
+    quota = bounded(quota.withColumn("quota", F.col("quota") * block).withColumn("cap", F.col("words") * most), "key", "shard")
+    quota = quota.select("key", "shard", "words", "source_size", "target", "quota")
     quota = keep(quota.withColumn("start", F.when(F.col("words") > 0, (fraction(F.lit(seed), F.lit("start"), F.col("key"), F.col("shard").cast("string")) % F.greatest(F.col("words"), F.lit(1)))).otherwise(F.lit(0))), "mix-quotas")
     ring = Window.partitionBy("shard", "key").orderBy(fraction(F.lit(seed), F.lit("ring"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.col("doc_id"), F.col("size"), F.col("text_md5")).rowsBetween(Window.unboundedPreceding, 0)
     laid = rows.select("doc_id", "source", "text_md5", "size", "shard", key).repartition("shard").select("*", (F.sum("size").over(ring) - F.col("size")).alias("at"))

@@ -239,6 +239,20 @@ def test_mixing(docs, rows):
         assert abs(taken[s] - targets[s]) <= 8 * 6
 
 
+@pytest.mark.parametrize("size", [3, 5, 10, 20])
+def test_mixing_of_rare_short_texts(spark, size):
+    """Sources with about one short document in a shard get their targets, at a third of their size as at three times it."""
+    rows = [(i, "x " * size, "a" if i < 180 else "b" if i < 240 else "c") for i in range(270)]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), shard_docs=1).collect()
+    taken = Counter()
+    for r in out:
+        assert 0 <= r.taken <= 3 * r.size and r.taken == r.turns * r.size + r.direct + r.wrapped
+        taken[r.source] += r.taken
+    targets = {r.source: r.target for r in out}
+    assert targets == {"a": 60 * size, "b": 120 * size, "c": 90 * size}
+    assert all(abs(taken[s] - target) <= mixing.BLOCK for s, target in targets.items()), taken
+
+
 def test_highest_quotients(spark):
     r = random.Random(4)
     for seats in (0, 1, 7, 100, 1001):
