@@ -193,14 +193,17 @@ def word_counts(pieces: Pieces, data: np.ndarray, size: np.ndarray, weight: np.n
 
 
 def packed(values: np.ndarray) -> bytes:
-    """Numbers below 2^21 in 1 to 3 bytes each, of which all but the last have the high bit."""
-    n = 1 + (values >= 1 << 7) + (values >= 1 << 14)
+    """Numbers from 0 on, each in as many bytes of 7 bits as it needs, high ones first, of which all but the last have the high bit."""
+    values = values.astype(np.int64, copy=False)
+    n, most = np.ones(len(values), np.int64), int(values.max()) if len(values) else 0
+    for k in range(7, most.bit_length(), 7):
+        n += values >= 1 << k
     end = np.cumsum(n)
     out = np.zeros(int(end[-1]) if len(end) else 0, np.uint8)
     out[end - 1] = values & 127
-    two, three = n >= 2, n == 3
-    out[end[two] - 2] = values[two] >> 7 & 127 | 128
-    out[end[three] - 3] = values[three] >> 14 | 128
+    for k in range(1, int(n.max()) if len(n) else 0):
+        more = n > k
+        out[end[more] - 1 - k] = values[more] >> 7 * k & 127 | 128
     return out.tobytes()
 
 
@@ -210,8 +213,9 @@ def unpacked(data: bytes) -> np.ndarray:
     n = np.diff(end, prepend=-1)
     y = (x & 127).astype(np.int64)
     out = y[end]
-    out[n >= 2] += y[end[n >= 2] - 1] << 7
-    out[n == 3] += y[end[n == 3] - 2] << 14
+    for k in range(1, int(n.max()) if len(n) else 0):
+        more = n > k
+        out[more] += y[end[more] - k] << 7 * k
     return out
 
 

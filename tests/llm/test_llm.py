@@ -419,6 +419,11 @@ def test_varints():
     assert (lattice.unpacked(lattice.packed(v)) == v).all() and len(lattice.unpacked(b"")) == 0
 
 
+def test_varints_of_many_words():
+    v = np.array([0, 2**21 - 1, 2**21, 3_000_000, 2**28 - 1, 2**28, 2**31 - 1, 2**40, 2**62, 127, 128])
+    assert (lattice.unpacked(lattice.packed(v)) == v).all() and (lattice.unpacked(lattice.packed(v[2:4])) == v[2:4]).all()
+
+
 # 9
 def test_bpe_equals_the_library(spark, docs, rows):
     path = public_tokenizers.path("byte_bpe_50k.json")
