@@ -182,6 +182,27 @@ def test_sketches_of_small_sets_at_the_threshold():
     assert len(differ) == pairs and (differ <= most).all()
 
 
+def test_near_duplicates_in_a_group_that_thins_out_slowly(spark):
+    """Lone pairs near the threshold among strangers that share most of their text: branching must end before it parts them."""
+    r = random.Random(12)
+    v = ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(3000)]
+    base = [r.choice(v) for _ in range(56)]
+    texts = [" ".join(base + [r.choice(v) for _ in range(44)]) for _ in range(500)]
+    texts += [" ".join(t.split()[:90] + [r.choice(v) for _ in range(10)]) for t in texts[:60]]
+    sets = [shingles(t, 4) for t in texts]
+    links = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    assert links == [(i, 500 + i) for i in range(60)]
+    # few trees and small nodes, so that a small table branches as deep as a large one
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in neardup.near_duplicates(df, 4, trees=3, small=2).collect()}
+    assert got == dict(enumerate(groups(len(texts), links)))
+
+
+def test_depth_of_branching():
+    assert neardup.missed(0.8, 12, 5) < neardup.MISSED < neardup.missed(0.8, 12, 6)
+    assert [neardup.deepest(0.8, 12, 24), neardup.deepest(0.5, 12, 24), neardup.deepest(0.8, 12, 3)] == [5, 1, 3]
+
+
 def test_near_duplicates_of_nothing(empty):
     assert neardup.near_duplicates(empty).collect() == []
 
