@@ -176,7 +176,7 @@ def across(rows: DataFrame, threshold: float, more: Column | None = None) -> Dat
 
 
 def near_duplicates(df: DataFrame, width: int = 5, share: int = 80, id: str = "doc_id", text: str = "text", trees: int = TREES, small: int = SMALL, levels: int = LEVELS, seed: int = SEED, columns: tuple[str, ...] = ()) -> DataFrame:
-    """For each row of df, or with columns each row and those columns and the set's key v: doc_id, n_shingles, component_id (smallest id reachable by links of at least share % similarity), kept (doc_id = component_id)."""
+    """For each row of df, or with columns each row and those columns, the set's key v and its component's least key label: doc_id, n_shingles, component_id (smallest id reachable by links of at least share % similarity), kept (doc_id = component_id)."""
     threshold = share / 100
     words = F.col(f"`{text}`").cast("string")
     source = df.select(F.col(f"`{id}`").cast("long").alias("doc_id"), F.xxhash64(words).alias("text_hash"), words.alias("text"))
@@ -239,12 +239,12 @@ def near_duplicates(df: DataFrame, width: int = 5, share: int = 80, id: str = "d
     labels = components(links.unionByName(more), "cp-components")
     named = keep(firsts.select("v", "first_id").join(labels, "v", "left").select("v", "first_id", F.coalesce("label", "v").alias("label")), "cp-named")
     smallest = keep(named.groupBy("label").agg(F.min("first_id").alias("component_id")), "cp-smallest")
-    facts = keep(named.join(smallest, "label").select("v", "component_id"), "cp-facts")
+    facts = keep(named.join(smallest, "label").select("v", "label", "component_id"), "cp-facts")
     if not columns:
         out = rows.select("doc_id", "n_shingles", "v").join(facts, "v", "left")
     else:  # equal texts have one set
         by_text = keep(rows.select("text_hash", "n_shingles", "v").distinct().join(facts, "v", "left"), "cp-texts")
         out = df.select(F.col(f"`{id}`").cast("long").alias("doc_id"), *[F.col(f"`{c}`") for c in columns if c != id], F.xxhash64(words).alias("text_hash")).join(by_text, "text_hash")
     component = F.when(F.col("v").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    extra = [F.col(f"`{c}`") for c in columns if c != id] + [F.col("v")] * bool(columns)
+    extra = [F.col(f"`{c}`") for c in columns if c != id] + [F.col("v"), F.col("label")] * bool(columns)
     return out.select("doc_id", *extra, "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))

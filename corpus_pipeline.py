@@ -25,9 +25,11 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def single(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: that of the smallest id. Of rows with one id in one group, the first by text, language, source; a row without id, or without words, always stays."""
     found = neardup.near_duplicates(docs, columns=COLUMNS[1:])
-    again = Window.partitionBy("component_id", "doc_id", "v").orderBy("text", "lang", "source", "n_chars")
+    # unrelated groups can have one smallest id; rows without id all stay, and are spread by v
+    counted = F.col("v").isNotNull() & F.col("doc_id").isNotNull()
+    again = Window.partitionBy("label", "doc_id", F.when(~counted, F.col("v"))).orderBy("text", "lang", "source", "n_chars")
     kept = found.where(F.col("kept") | F.col("doc_id").isNull() | F.col("v").isNull())
-    return kept.withColumn("n", F.when(F.col("v").isNotNull() & F.col("doc_id").isNotNull(), F.row_number().over(again)).otherwise(1)).where("n = 1").select(*COLUMNS)
+    return kept.withColumn("n", F.when(counted, F.row_number().over(again)).otherwise(1)).where("n = 1").select(*COLUMNS)
 
 
 def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -45,6 +45,15 @@ def test_duplicate_stage(stages):
     assert sorted(after) == [r for i, r in enumerate(before) if label[i] == i]
 
 
+def test_duplicate_stage_of_repeated_ids(spark):
+    """Near copies under one id leave one row; blank ones of that id, and rows without id, stay."""
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, text + " b", "x"), (1, text + " a", "x"), (1, text + " a", "x"), (1, "", "x"), (2, text, "x"), (3, "other words", "x"), (3, "more of them", "x"), (None, text + " c", "x"), (None, text + " d", "x"), (None, None, "x")]
+    df = spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], DOCS)
+    got = Counter((r.doc_id, r.text) for r in p.single(spark, df, "").collect())
+    assert got == Counter([(1, text + " a"), (1, ""), (3, "other words"), (3, "more of them"), (None, text + " c"), (None, text + " d"), (None, None)])
+
+
 def test_secret_stage(stages):
     before, after = {r.doc_id: r for r in stages[2]}, stages[3]
     assert {r.doc_id for r in after} == set(before)
