@@ -31,7 +31,39 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     """df as a written table: cuts its lineage, and lets a skewed join that reads it be split. Executors may be lost afterwards."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.kept_at = path
+    return out
+
+
+def done(*tables: DataFrame) -> None:
+    """Remove tables that keep() has written and nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.kept_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def grouped(rows: Iterator[dict[str, np.ndarray]], key: str) -> Iterator[dict[str, np.ndarray]]:
+    """Sorted rows, as columns of arrays, in one run for each value of the key. A run is held at once."""
+    held: list[dict[str, np.ndarray]] = []
+    for x in rows:
+        k = x[key]
+        cuts = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1).tolist(), len(k)]
+        if held and held[0][key][0] != k[0]:
+            yield {c: np.concatenate([h[c] for h in held]) for c in x}
+            held = []
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            run = {c: y[a:b] for c, y in x.items()}
+            if b == len(k):
+                held.append(run)
+            elif held:
+                yield {c: np.concatenate([h[c] for h in [*held, run]]) for c in x}
+                held = []
+            else:
+                yield run
+    if held:
+        yield {c: np.concatenate([h[c] for h in held]) for c in held[0]}
 
 
 def needed(df: DataFrame, *columns: str) -> DataFrame:

@@ -160,26 +160,60 @@ def test_near_duplicates_of_a_hot_group(spark):
     texts += [" ".join(base[:40] + [r.choice(v) for _ in range(60)]) for _ in range(200)]
     sets = [shingles(t, 4) for t in texts]
     label = groups(len(texts), [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])])
-    # small nodes of 20 only, so that branching and the dense comparison are reached
-    got = {x.doc_id: x.component_id for x in neardup.near_duplicates(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), 4, small=20).collect()}
-    assert got == dict(enumerate(label))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    # small nodes of 20 only, so that branching is reached; a task may hold 50 sets, or 2000 shingles, only, so that written levels and blocks are
+    for options in ({}, {"small": 20}, {"small": 20, "big": 50}, {"small": 20, "big": 50, "held": 2000}):
+        got = {x.doc_id: x.component_id for x in neardup.near_duplicates(df, 4, **options).collect()}
+        assert got == dict(enumerate(label)), options
+
+
+def test_dense_nodes_give_links_and_no_pairs():
+    """600 sets whose sketches are all alike, of which some are links: a node of them gives its sets, and then one link fewer than each component has sets."""
+    r = np.random.default_rng(4)
+    base = r.integers(-(2**62), 2**62, 60)
+    # sorted as the operator sorts them, as numbers without sign
+    shared = [np.unique(np.concatenate((base[: 60 - k % 3], r.integers(-(2**62), 2**62, 5 + 4 * (k % 3)))).view(np.uint64)).view(np.int64) for k in range(600)]
+    n = len(shared)
+    facts = {"node": np.full(n, 3), "label": np.arange(n), "levels": np.full(n, -1, np.int32), "side": np.zeros(n, np.int32), **{c: np.zeros(n, np.int64) for c in neardup.SKETCH}}
+    batch = pa.RecordBatch.from_pydict({**facts, "v": np.arange(n), "tokens": pa.array([None] * n, pa.list_(pa.int32()))})
+    (out,) = neardup._candidates(iter([batch]), 0.8, 10)
+    assert out.column("a").to_pylist() == list(range(n)) and out.column("b").null_count == n and set(out.column("node").to_pylist()) == {3}
+    for side in (facts["side"], (np.arange(n) % 2).astype(np.int32)):
+        batch = pa.RecordBatch.from_pydict({**facts, "side": side, "v": np.arange(n), "shared": pa.array(shared, pa.list_(pa.int64()))})
+        links = [p for b in neardup._joined(iter([batch.slice(0, 250), batch.slice(250)]), 0.8, 80) for p in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        sets = [set(s.tolist()) for s in shared]
+        alike = [(i, j) for i, j in itertools.combinations(range(n), 2) if (side is facts["side"] or side[i] != side[j]) and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+        assert set((b, a) for a, b in links) <= set(alike) and groups(n, links) == groups(n, alike)
+        assert len(links) == n - len(set(groups(n, alike)))
+
+
+def test_blocks_meet_once(spark):
+    rows = spark.createDataFrame([(7, v, v, 0) for v in range(90)], "node long, v long, label long, side int")
+    assert sorted(neardup.blocks(rows, F.lit(1)).collect()) == sorted(rows.collect())
+    cells = defaultdict(lambda: ([], []))
+    for r in neardup.blocks(rows, F.lit(5)).collect():
+        cells[r.node][r.side].append(r.v)
+    met = Counter()
+    for one, two in cells.values():
+        met.update(frozenset(p) for p in (itertools.product(one, two) if two else itertools.combinations(one, 2)))
+    assert met == dict.fromkeys((frozenset(p) for p in itertools.combinations(range(90), 2)), 1)
 
 
 def test_sketches_of_small_sets_at_the_threshold():
     """Of 6000 pairs of 4 to 20 shingles whose similarity is exactly 0.8 the filter rejects none, whichever shingles differ."""
     r = np.random.default_rng(3)
-    most = 1024 - math.floor(1024 * 0.9 - neardup.SLACK * math.sqrt(1024 * 0.9 * 0.1))
     texts, pairs = [], 6000
     for k in range(pairs):
         n = 1 + k % 4
         words = [f"w{x}" for x in r.integers(0, 2**62, 5 * n)]
         own = int(r.integers(0, n + 1))
         texts += [" ".join(words[: 4 * n + own]), " ".join(words[: 4 * n] + words[4 * n + own :])]
-    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["doc_id", "text_hash", "text"])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64())] * 3 + [pa.array(texts)], ["doc_id", "hash", "hash2", "text"])
     (out,) = neardup._sketched(iter([batch]), 1)
     bits = np.stack([out.column(c).to_numpy() for c in neardup.SKETCH], axis=1)
-    differ = np.bitwise_count((bits[::2] ^ bits[1::2]).view(np.uint64)).sum(axis=1)
-    assert len(differ) == pairs and (differ <= most).all()
+    for words in (16, neardup.AHEAD):
+        differ = np.bitwise_count((bits[::2, :words] ^ bits[1::2, :words]).view(np.uint64)).sum(axis=1)
+        assert len(differ) == pairs and (differ <= neardup.most_apart(0.8, words)).all()
 
 
 def test_near_duplicates_in_a_group_that_thins_out_slowly(spark):
