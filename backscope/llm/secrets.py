@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import partial, reduce
 from re import _constants as kinds
 from re import _parser as parser
@@ -36,6 +36,8 @@ class Rule:
     group: int = 0
     least: int = 0
     any_case: bool = False
+    #: A pattern for the search in time linear in the text: its matches are the rule's, and others in which its group `all` has no part.
+    linear: str = ""
 
     def compiled(self) -> re.Pattern:
         return re.compile(self.pattern, re.ASCII | (re.IGNORECASE if self.any_case else 0))
@@ -54,9 +56,11 @@ MORE = (
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", 0, 15),
     Rule("google", r"AIza[A-Za-z0-9_-]+", 0, 39),
     Rule("stripe", r"[rs]k_live_[A-Za-z0-9]+", 0, 24),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 36),
+    # a run that leads to no match is passed over at once
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 36, False, r"eyJ(?:[A-Za-z0-9_-]++(?P<all>\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++)?)?"),
     Rule("bearer", r"bearer\x20+([A-Za-z0-9._~+/-]+)", 1, 20, True),
-    Rule("url", r"[a-z]+://[^\x20\x09-\x0D/:@]+:([^\x20\x09-\x0D/:@]+)@", 1, 6),
+    # only where a run of letters starts
+    Rule("url", r"[a-z]+://[^\x20\x09-\x0D/:@]+:([^\x20\x09-\x0D/:@]+)@", 1, 6, False, r"(?<![a-z])[a-z]++://[^\x20\x09-\x0D/:@]++:([^\x20\x09-\x0D/:@]++)@"),
 )
 RULES = BASE + MORE
 
@@ -177,7 +181,7 @@ class Scanner:
     """Rules with their queries, for run after run of texts."""
 
     def __init__(self, rules: Sequence[Rule]) -> None:
-        self.rules = [(k, r, r.compiled(), trigram_query(r.pattern)) for k, r in enumerate(rules)]
+        self.rules = [(k, r, replace(r, pattern=r.linear or r.pattern).compiled(), trigram_query(r.pattern)) for k, r in enumerate(rules)]
         grams = sorted(set().union(set(), *(named(q) for *_, q in self.rules)))
         self.grams = {g: i for i, g in enumerate(grams)}
         self.code = np.zeros(1 << 24, np.uint16)
@@ -216,7 +220,8 @@ class Scanner:
 
     @staticmethod
     def search(rule: Rule, pattern: re.Pattern, text: str) -> Iterator[re.Match]:
-        return (m for m in pattern.finditer(text) if m.end(rule.group) - m.start(rule.group) >= rule.least)
+        whole = pattern.groupindex.get("all", 0)
+        return (m for m in pattern.finditer(text) if m.end(rule.group) - m.start(rule.group) >= rule.least and m.end(whole) >= 0)
 
 
 def lengthened(rule: Rule) -> Rule:
