@@ -57,23 +57,23 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int32())
     for batch in batches:
         rows = []
-        for row in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "n_bytes", "media", "media_type", "media_length", "corrected", "n_carved")), strict=True):
-            doc, n, stored, kind, length, corrected, carved = row
+        for row in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "n_bytes", "media", "media_type", "media_length", "corrected")), strict=True):
+            doc, n, stored, kind, length, corrected = row
             about, samples = media.from_wav(stored[:length])
             x = np.frombuffer(samples, np.uint8).astype(np.int64) - 128
             turns = int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))
             told = f"{kind};rate={about['rate']};bits={about['bits']};channels={about['channels']};samples={len(x)};energy={int(x @ x)};peak={int(np.abs(x).max())};crossings={turns};bands={','.join(map(str, np.bincount((x + 128) >> 5, minlength=8)))}"
-            rows.append((doc, n, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), told, kind, corrected, carved))
+            rows.append((doc, n, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), told, kind, corrected, len(media.found(samples))))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
 
 def op5_media_columns(spark: SparkSession, folder: str) -> DataFrame:
-    """The payload is stored as WAV samples in a media column declared as plain bytes, sniffed, and read back."""
+    """The payload is stored as WAV samples in a media column declared as plain bytes, sniffed, and read back; n_carved counts the media that the payload itself holds."""
     source = table(spark, folder, "documents").select("doc_id", "text")
     stored = source.mapInArrow(_stored, "doc_id long, n_bytes long, media binary").withColumn("declared", F.lit("application/octet-stream"))
     stored = keep(stored, "media")
-    sniffed = media.sniff(stored, "media", "declared", ("doc_id", "n_bytes"), carve=False).withColumn("n_carved", F.size("carved"))
+    sniffed = media.sniff(stored, "media", "declared", ("doc_id", "n_bytes"), carve=False)
     return sniffed.drop("carved", "declared_type").mapInArrow(_features, FEATURES)
 
 
