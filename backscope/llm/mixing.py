@@ -82,7 +82,7 @@ def mix(df: DataFrame, id: str = "doc_id", text: str = "text", source: str = "so
     rows = df.select(F.col(f"`{id}`").alias("doc_id"), F.col(f"`{source}`").cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(f"`{text}`"), F.lit(WORDS)), F.lit(0)).cast("long").alias("size"), F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")).alias("text_md5"))
     rows = keep(rows, "mix-sizes")
     n = rows.count()
-    shard = (fraction(F.lit(seed), F.lit("shard"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % max(1, -(-n // shard_docs))).alias("shard")
+    shard = (fraction(F.lit(seed), F.lit("shard"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text_md5")) % max(1, -(-n // shard_docs))).alias("shard")
     rows = rows.select("*", shard)
     cells = keep(rows.groupBy("source", "shard").agg(F.sum("size").alias("words")), "mix-cells")
     sources = targets(cells.groupBy("source").agg(F.sum("words").alias("source_size")), most)

@@ -95,7 +95,7 @@ def _apportion(name: str, source: str, seats: str, weight: str, by: str, order:
 _RING = _fraction("'mix-1'", "'ring'", "coalesce(doc_id::VARCHAR, '')")
 OP4 = f"""
 WITH rows AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::BIGINT AS size, md5(coalesce(text, '')) AS text_md5,
-  {_fraction("'mix-1'", "'shard'", "coalesce(doc_id::VARCHAR, '')")} % greatest(1, (SELECT (count(*) + 511) // 512 FROM documents))::BIGINT AS shard, concat(CASE WHEN source IS NULL THEN 'n' ELSE 's' END, coalesce(source, '')) AS key FROM documents),
+  {_fraction("'mix-1'", "'shard'", "coalesce(doc_id::VARCHAR, '')", "md5(coalesce(text, ''))")} % greatest(1, (SELECT (count(*) + 511) // 512 FROM documents))::BIGINT AS shard, concat(CASE WHEN source IS NULL THEN 'n' ELSE 's' END, coalesce(source, '')) AS key FROM documents),
 cells AS (SELECT key, any_value(source) AS source, shard, sum(size)::BIGINT AS words FROM rows GROUP BY key, shard),
 s0 AS (SELECT key, any_value(source) AS source, sum(words)::BIGINT AS source_size FROM cells GROUP BY key),
 s1 AS (SELECT *, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1) AS weight, source_size * 3 AS cap, sum(source_size) OVER () AS all_size FROM s0),
