@@ -262,10 +262,11 @@ def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Recor
             chance = model.chances(hashes, shapes, lines)
             score = model.scores(chance, text, j - i)
             spans: list[list[dict]] = [[] for _ in range(j - i)]
+            # code points before each byte
+            points = np.concatenate(([0], np.cumsum((here & 0xC0) != 0x80)))
             for k in np.flatnonzero(chance >= 0.5).tolist():
-                d, low = int(text[k]), int(part[text[k]] - part[0])
-                a, b = (len(here[low:x].tobytes().decode()) for x in (starts[k], ends[k]))
-                spans[d].append({"start": a, "end": b, "chance": float(chance[k])})
+                low = points[part[text[k]] - part[0]]
+                spans[int(text[k])].append({"start": int(points[starts[k]] - low), "end": int(points[ends[k]] - low), "chance": float(chance[k])})
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("chance", pa.float64())]))
             yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns[:-1], pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(spans, kind)], [*batch.schema.names[:-1], "score", "predicted", "spans"])
 
@@ -278,12 +279,12 @@ def held(id: Column, parts: int = 5) -> Column:
 
 
 def train(df: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Model:
-    """A model of at most `rows` labelled rows outside the held-out fold, those whose ids' digests come first, of at most `chars` characters each."""
+    """A model of at most `rows` labelled rows outside the held-out fold, those whose ids' digests come first, of at most `chars` characters each, also where ids repeat. Of more than MOST_WORDS words the most frequent are learnt."""
     told = labels.select(F.col(f"`{id}`").alias("id"), F.col(f"`{label}`").cast("int").alias("label")).where("id is not null and label is not null").where(~held(F.col("id")))
     chosen = told.orderBy(F.md5(F.col("id").cast("string").cast("binary")), "id", "label").limit(rows)
     texts = df.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text")).where(F.length("text") <= chars)
     # the ids are at most `rows`
-    found = texts.join(F.broadcast(chosen), "id").select("id", "text", "label").collect()
+    found = texts.join(F.broadcast(chosen), "id").select("id", "text", "label").orderBy(F.md5(F.col("id").cast("string").cast("binary")), "id", "label", "text").limit(rows).collect()
     found.sort(key=lambda r: (r["id"], r["label"], r["text"]))
     return fitted([r["text"] for r in found], np.array([float(r["label"] > 0) for r in found]))
 
