@@ -59,12 +59,13 @@ def strength(sites: DataFrame, good: str, n: str, expected: Column) -> float:
 
 
 def classify(df: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", host: str = "source", path: str = "lang", label: str = "quality", columns: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the given columns, evidence, host_share, path_share, score (chance that it is good), kept (score >= 0.5)."""
-    names = [F.col(f"`{id}`").alias("doc_id"), *[F.col(f"`{c}`") for c in columns if c != id]]
+    """doc_id, the given columns (but those that are called like a result), evidence, host_share, path_share, score (chance that it is good), kept (score >= 0.5)."""
+    columns = tuple(c for c in columns if c not in (id, "doc_id", "evidence", "host_share", "path_share", "score", "kept"))
+    given = F.struct(F.lit(0).alias("__none"), *[F.col(f"`{c}`") for c in columns]).alias("__given")
     places = [F.concat(F.when(F.col(f"`{c}`").isNull(), "n").otherwise("s"), F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))) for c in (host, path)]
     told = labels.select(F.col(f"`{id}`").alias("__label_id"), F.col(f"`{label}`").cast("int").alias("__good")).where("__label_id is not null and __good is not null")
-    # texts are read once for this, and once more only if columns are to come along
-    told_of = keep(df.select(F.col(f"`{id}`").alias("__id"), places[0].alias("__host"), places[1].alias("__path"), *[c.alias(f"__{t}") for c, t in zip(traits(F.col(f"`{text}`")), TRAITS, strict=True)]), "quality-traits")
+    # texts are read once, and given columns written along
+    told_of = keep(df.select(F.col(f"`{id}`").alias("__id"), given, places[0].alias("__host"), places[1].alias("__path"), *[c.alias(f"__{t}") for c, t in zip(traits(F.col(f"`{text}`")), TRAITS, strict=True)]), "quality-traits")
     known = told_of.withColumnsRenamed({f"__{t}": t for t in TRAITS}).join(told, F.col("__id") == F.col("__label_id"))
     known = keep(known.select("__host", "__path", (F.col("__good") > 0).cast("int").alias("__good"), *TRAITS), "quality-known")
     total, good = known.agg(F.count("*"), F.coalesce(F.sum("__good"), F.lit(0))).first()
@@ -84,10 +85,9 @@ def classify(df: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "
         return n[1] - n[0]
 
     evidence = reduce(Column.__add__, [F.element_at(F.array(*[F.lit(ratio(t, b)) for b in range(BINS)]), F.col(f"__{t}") + 1) for t in TRAITS])
-    rows = told_of.withColumnRenamed("__id", "doc_id") if not columns else df.select(*names, places[0].alias("__host"), places[1].alias("__path"), *[c.alias(f"__{t}") for c, t in zip(traits(F.col(f"`{text}`")), TRAITS, strict=True)])
-    rows = rows.select(*[n for n in rows.columns if n[2:] not in TRAITS or n[:2] != "__"], evidence.alias("evidence"))
+    rows = told_of.select(F.col("__id").alias("doc_id"), *["__given"] * bool(columns), "__host", "__path", evidence.alias("evidence"))
     for site, keys in ((hosts, ["__host"]), (paths, ["__host", "__path"])):
         rows = rows.join(F.broadcast(site) if site.count() <= SENT else site, keys, "left")
     rows = rows.withColumn("host_share", F.coalesce("host_share", F.lit(share))).withColumn("path_share", F.coalesce("path_share", "host_share"))
     score = 1 / (1 + F.exp(-(F.col("evidence") + F.log(F.col("path_share") / (1 - F.col("path_share"))))))
-    return rows.select("doc_id", *[f"`{c}`" for c in columns if c != id], "evidence", "host_share", "path_share", score.alias("score")).withColumn("kept", F.col("score") >= 0.5)
+    return rows.select("doc_id", *[F.col("__given")[c].alias(c) for c in columns], "evidence", "host_share", "path_share", score.alias("score")).withColumn("kept", F.col("score") >= 0.5)
