@@ -1,7 +1,7 @@
 """WARC archives: a deterministic sharded writer, and a reader.
 
-Records are parted into ranges of their id by a histogram of bytes over ids (no sampling, so that reruns agree), sorted
-inside each range, written as one gzip member each, and rolled to a new file at a compressed size. Headers and digests are
+Records are parted into ranges of their id by histograms of bytes over ids, refined where they are heavy (no sampling, so that
+reruns agree), sorted inside each range, written as one gzip member each, and rolled to a new file at a compressed size. Headers and digests are
 made anew from the payload. A file is written under a temporary name and moved to its final name when it is whole; the
 list of files is itself a table that appears by one rename at the end. Only files in that list are read.
 
@@ -20,6 +20,8 @@ import zlib
 from collections.abc import Iterator
 from functools import partial
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import keep
 
-#: Bytes of payload for a shard, compressed bytes at which a file is closed, and cells of the histogram.
+#: Bytes of payload for a shard, compressed bytes at which a file is closed, and cells of a histogram at most.
 SHARD_BYTES, ROLL_BYTES, CELLS = 64 << 20, 16 << 20, 8192
 #: Records are regenerated, so their date is a parameter and not the clock.
 DATE = "2000-01-01T00:00:00Z"
@@ -64,6 +66,13 @@ def record(page: int | None, url: str | None, payload: bytes, digest: str, refer
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def digest_of(stream: pa.NativeFile) -> str:
+    out = hashlib.sha256()
+    while part := stream.read(1 << 20):
+        out.update(part)
+    return out.hexdigest()
+
+
 class Roll:
     """The files of one shard, one after another."""
 
@@ -90,8 +99,15 @@ class Roll:
         self.out.close()
         final = f"{self.folder}/{self.name}"
         if self.fs.get_file_info(final).type != pafs.FileType.NotFound:
-            self.fs.delete_file(final)  # another attempt's, of the same bytes
-        self.fs.move(self.temporary, final)
+            # another attempt's, which may be listed already, stays if it has the same bytes
+            with self.fs.open_input_stream(final, compression=None) as stream:
+                same = self.sum.hexdigest() == digest_of(stream)
+            if same:
+                self.fs.delete_file(self.temporary)
+            else:  # left by a run that never listed its files
+                self.fs.move(self.temporary, final)
+        else:
+            self.fs.move(self.temporary, final)
         self.out, self.number = None, self.number + 1
         return self.shard, self.name, self.records, self.size, self.sum.hexdigest(), self.first, self.last
 
@@ -119,19 +135,46 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, most: int, date: str)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["shard", "name", "records", "bytes", "sha256", "first_id", "last_id"])
 
 
-def shards(sizes: DataFrame, shard_bytes: int, cells: int = CELLS) -> tuple[int, int, list[int]]:
-    """The smallest id, the width of a cell and each cell's shard, from (id, payload_bytes): at most `cells` sums reach the driver."""
-    low, high = sizes.agg(F.min("id"), F.max("id")).first()
-    if low is None:
-        return 0, 1, [0]
-    width = (high - low) // cells + 1
-    found = dict(sizes.where("id is not null").groupBy(F.floor((F.col("id").cast("decimal(20,0)") - F.lit(low)) / width).cast("int").alias("cell")).agg(F.sum(F.col("payload_bytes") + 400)).collect())
-    out, total = [], 0
-    for cell in range((high - low) // width + 1):
-        out.append(total // shard_bytes)
-        total += found.get(cell, 0)
-    number = {s: i for i, s in enumerate(sorted(set(out)))}
-    return low, width, [number[s] for s in out]
+def shards(sizes: DataFrame, shard_bytes: int, cells: int = CELLS) -> list[int]:
+    """The first ids of shards, but the first shard's, from (id, payload_bytes).
+
+    Cells of equal width over all ids are summed; one that holds more than a quarter of a shard is cut into narrower cells in
+    the next round, until it is a single id or light. So outlying ids don't put all others into one cell, and at most
+    `cells` sums, or some for each shard that is written, reach the driver.
+    """
+    sizes = sizes.where("id is not null").select("id", (F.col("payload_bytes") + 400).alias("bytes"))
+    low, high, total = sizes.agg(F.min("id"), F.max("id"), F.sum("bytes")).first()
+    if low is None or total <= shard_bytes:
+        return []
+    heavy, light = [(low, high - low + 1, total)], []
+    while heavy:
+        # start, width and cells of each heavy range, which lie apart
+        cut = [(start, -(-width // min(width, cells, 16 * -(-n // shard_bytes) + 16))) for start, width, n in heavy]
+        starts, widths, spans = np.array([c[0] for c in cut], np.int64), np.array([c[1] for c in cut], np.uint64), np.array([width - 1 for _, width, _ in heavy], np.uint64)
+
+        @F.pandas_udf("long")
+        def cell(ids: pd.Series) -> pd.Series:
+            """The first id of a cell; null outside of all heavy ranges. Differences of ids need all 64 bits."""
+            x = ids.to_numpy(np.int64)
+            k = np.maximum(np.searchsorted(starts, x, "right") - 1, 0)
+            first = starts[k].view(np.uint64)
+            off = x.view(np.uint64) - first
+            return pd.Series(pd.arrays.IntegerArray((first + off // widths[k] * widths[k]).view(np.int64), (x < starts[k]) | (off > spans[k])))
+
+        found = sizes.select(cell("id").alias("cell"), "bytes").where("cell is not null").groupBy("cell").agg(F.sum("bytes")).collect()
+        heavy = []
+        for start, n in found:
+            j = int(np.searchsorted(starts, start, "right")) - 1
+            width = min(int(widths[j]), int(starts[j]) + int(spans[j]) + 1 - start)
+            (heavy if 4 * n > shard_bytes and width > 1 else light).append((start, width, n))
+        heavy.sort()
+    out, filled = [], 0
+    for start, _, n in sorted(light):
+        if filled and filled + n > shard_bytes:
+            out.append(start)
+            filled = 0
+        filled += n
+    return out
 
 
 def write(df: DataFrame, folder: str, id: str = "page_id", url: str = "url", payload: str = "html", least: int = 100, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES, date: str = DATE) -> DataFrame:
@@ -153,11 +196,20 @@ def write(df: DataFrame, folder: str, id: str = "page_id", url: str = "url", pay
     firsts = keep(large.groupBy("digest").agg(F.min("id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n"), "warc-firsts")
     # the smallest id itself comes along: it may stand in several rows
     revisits = large.select("id", "digest").join(firsts, "digest").select("id", "digest", F.lit(None).cast("binary").alias("payload"), F.lit(None).cast("string").alias("url"), "refers_to").distinct()
-    low, width, cells = shards(facts, shard_bytes)
-    cell = F.coalesce(F.floor((F.col("id").cast("decimal(20,0)") - F.lit(low)) / width).cast("int"), F.lit(0))
-    shard = F.element_at(F.array(*map(F.lit, cells)), cell + 1).cast("long").alias("shard") if len(set(cells)) > 1 else F.lit(0).cast("long").alias("shard")
+    firsts_of = np.array(shards(facts, shard_bytes), np.int64)
+    # rows without id, in no order but that of their digests, have shards of their own
+    nameless = facts.where("id is null").agg(F.coalesce(F.sum(F.col("payload_bytes") + 400), F.lit(0))).first()[0]
+    named, more = len(firsts_of) + 1, -(-nameless // shard_bytes)
+
+    @F.pandas_udf("int")
+    def range_of(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(firsts_of, ids.to_numpy(), "right").astype(np.int32))
+
+    apart = (F.lit(named) + F.conv(F.substring("digest", 1, 12), 16, 10).cast("long") * more / F.lit(float(1 << 48))).cast("int")
+    shard = F.when(F.col("id").isNull(), apart).otherwise(range_of(F.coalesce("id", F.lit(0)))).alias("shard")
     all_rows = rows.withColumn("refers_to", F.lit(None).cast("long")).unionByName(revisits)
-    dealt = all_rows.select(shard, "id", "digest", "payload", "url", "refers_to").repartition(max(1, len(set(cells))), "shard")
+    # a task for each shard
+    dealt = all_rows.select(shard, "id", "digest", "payload", "url", "refers_to").repartitionById(named + more, F.col("shard"))
     dealt = dealt.sortWithinPartitions("shard", "id", "digest", F.col("payload").isNotNull(), "url")
     temporary = f"{folder}/_files-{uuid.uuid4().hex}"
     dealt.mapInArrow(partial(_write, folder=folder, most=roll_bytes, date=date), FILES).write.parquet(temporary)
@@ -231,4 +283,4 @@ def _read(batches: Iterator[pa.RecordBatch], folder: str, payloads: bool) -> Ite
 def read(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
     """The records of all files in the list: id, size and digest of the full payload (for a revisit, as its headers tell), type, the id it refers to, target, payload (none for revisits), whether digests hold, and the file."""
     listed = files(spark, folder).select("name")
-    return listed.repartition(256, "name").mapInArrow(partial(_read, folder=folder, payloads=payloads), RECORDS)
+    return listed.repartition(max(1, listed.count())).mapInArrow(partial(_read, folder=folder, payloads=payloads), RECORDS)

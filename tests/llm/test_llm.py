@@ -9,6 +9,7 @@ import os
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -131,6 +132,16 @@ def test_quality_odd_input(spark, docs, empty, rows):
     assert quality.classify(empty, labels).collect() == []
 
 
+def test_quality_with_columns_that_clash(spark, docs, rows):
+    """Given columns come along, whatever their names; those called like a result are the result."""
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    more = docs.withColumns({c: F.lit("x") for c in ("score", "evidence", "path_share", "__host", "marks", "__good")})
+    out = quality.classify(more, labels, columns=("text", "score", "evidence", "path_share", "__host", "marks", "__good", "doc_id"))
+    assert out.columns == ["doc_id", "text", "__host", "marks", "__good", "evidence", "host_share", "path_share", "score", "kept"]
+    plain = quality.classify(docs, labels)
+    assert sorted(map(str, out.select(plain.columns).collect())) == sorted(map(str, plain.collect())) and out.where("marks = 'x'").count() == len(rows)
+
+
 # 2
 @pytest.mark.parametrize("width", [4, 5])
 def test_near_duplicates(docs, rows, width):
@@ -263,6 +274,24 @@ def test_secrets(spark, docs, rows):
     assert secrets.scan(docs).count() == len(rows)
 
 
+@pytest.mark.parametrize("text", ["x://y " + "q" * 1_000_000, "eyJ" * 400_000, "eyJab." * 200_000, "eyJ." * 200_000, "-----BEGIN " + "A " * 400_000, "a://b:" * 200_000, "bearer " * 200_000 + " " * 500_000, "token = " * 150_000, "ghp_" * 300_000])
+def test_secrets_of_very_long_texts(text):
+    """Every rule is linear: a text of a million characters that almost matches takes a second or two, not hours."""
+    scanner, began = secrets.Scanner([secrets.lengthened(r) for r in secrets.RULES]), time.time()
+    found = [secrets.RULES[k].kind for _, k, _ in scanner.spans(*common.strings(pa.array([text])))[0]]
+    assert time.time() - began < 20 and set(found) <= {"assign", "bearer"}
+
+
+def test_linear_patterns_find_what_plain_ones_do():
+    r = random.Random(8)
+    parts = ["eyJ", "eyJ", ".", "a", "Zz9_", "-", " ", "://", "://", "http", "Ax", ":", "@", "/", "secret99", "\n", "é"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 30))) for _ in range(20_000)]
+    rules = [secrets.Rule(x.kind, x.pattern, x.group, 0, x.any_case, x.linear) for x in secrets.RULES if x.linear]
+    scanner = secrets.Scanner(rules)
+    for text, got in zip(texts, scanner.spans(*common.strings(pa.array(texts))), strict=True):
+        assert got == sorted((m.start(), k, m.end()) for k, x in enumerate(rules) for m in x.compiled().finditer(text)), text
+
+
 def test_queries_of_rules():
     assert secrets.trigram_query(r"[0-9a-f]+") is None
     assert secrets.trigram_query("abcd|efgh") in (("or", (("and", ("abc", "bcd")), ("and", ("efg", "fgh")))), ("or", (("and", ("efg", "fgh")), ("and", ("abc", "bcd")))))
@@ -348,6 +377,36 @@ def test_media_types_and_carving(spark):
     assert [(c.type, c.offset, bytes(c.data)) for c in out[103].carved] == [("image/png", 10, kinds["image/png"]), ("image/gif", 12 + len(kinds["image/png"]), kinds["image/gif"])]
 
 
+def ogg_page(stream, flags, data=b"abc"):
+    return b"OggS\0" + bytes([flags]) + bytes(8) + struct.pack("<I", stream) + bytes(8) + b"\x01" + bytes([len(data)]) + data
+
+
+def test_media_of_rarer_shapes():
+    """64-bit and open boxes, streams that interleave, bytes that fill, gzip headers with names."""
+    box = lambda kind, data: struct.pack(">I", 8 + len(data)) + kind + data
+    long = struct.pack(">I4sQ", 1, b"mdat", 16 + 5) + b"12345"
+    whole = {
+        "video/mp4": [box(b"ftyp", b"isom") + long + box(b"moov", b"x"), box(b"ftyp", b"isom") + box(b"moov", b"x") + struct.pack(">I4s", 0, b"mdat") + b"rest"],
+        "audio/ogg": [ogg_page(1, 2) + ogg_page(2, 2) + ogg_page(1, 4) + ogg_page(2, 0) + ogg_page(2, 4)],
+        "image/jpeg": [b"\xff\xd8\xff\xe0\0\x04ab\xff\xff\xff\xda\0\x02xy\xff\0z\xff\xd9"],
+        "application/gzip": [gzip.compress(b"x" * 999, mtime=5), b"\x1f\x8b\x08\x08" + bytes(6) + b"name\0" + gzip.compress(b"abc", mtime=0)[10:]],
+        "application/pdf": [b"%PDF-1.4\n%%EOF\nstartxref\n0\n%%EOF"],
+    }
+    for kind, values in whole.items():
+        for data in values:
+            assert media.found(data) == [(kind, 0, len(data))], data
+            # an MP4 or PDF that is cut short may be whole up to an earlier part
+            assert kind in ("video/mp4", "application/pdf") or media.found(data[:-1]) == []
+    assert media.found(b"".join(v[0] for v in whole.values()))[0][2] == len(whole["video/mp4"][0])
+
+
+@pytest.mark.parametrize("unit", [m for m, *_ in media.FORMATS] + [b"\0\0\0\x08ftyp", b"\0\0\0\x08ftyp\0\0\0\x08abcd", b"GIF89a" + bytes(7) + b"!!\x06GIF89a", b"\xff\xd8\xff\xe0\0\x02", b"PK\x03\x04PK\x05\x06" + bytes(18), b"%PDF-1.", b"%PDF-1.%%EOF", b"fLaC\0\0\0\x22" + bytes(34), b"\x1f\x8b\x08\x08" + b"a" * 9])
+def test_media_of_nothing_but_magic(unit):
+    began = time.time()
+    media.found(unit * (1_000_000 // len(unit)))
+    assert time.time() - began < 20
+
+
 def test_media_query(spark, tmp_path, rows):
     spark.createDataFrame(rows, DOCS).write.parquet(str(tmp_path / "documents.parquet"))
     out = queries.op5_media_columns(spark, str(tmp_path)).collect()
@@ -361,6 +420,13 @@ def test_media_query(spark, tmp_path, rows):
     for r in out:
         by[r.payload_sha256].add((r.media_sha256, r.feature, r.media_bytes))
     assert all(len(x) == 1 for x in by.values())
+    for r in rows:
+        p = media.padded(r[1])
+        stored = media.to_wav(p)
+        x = [b - 128 for b in p]
+        bands = ",".join(str(sum(b // 32 == k for b in p)) for k in range(8))
+        want = f"audio/wav;rate=8000;bits=8;channels=1;samples={len(p)};energy={sum(v * v for v in x)};peak={max(map(abs, x))};crossings={sum((a < 0) != (b < 0) for a, b in zip(x, x[1:]))};bands={bands}"
+        assert by[hashlib.sha256(p).hexdigest()] == {(hashlib.sha256(stored).hexdigest(), want, len(stored))}
 
 
 # 6
@@ -393,6 +459,16 @@ def test_toxicity_odd_input(spark, docs, rows, empty):
     model = toxicity.train(docs, labels)
     out = toxicity.score(docs, model).collect()
     assert len(out) == len(rows) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in out)
+    by_id = defaultdict(set)
+    for x in rows:
+        by_id[x[0]].add(x[1])
+    for r in out:
+        assert all(any(t and t[s.start : s.end] and not t[s.start : s.end].isspace() for t in by_id[r.doc_id]) for s in r.spans)
+    # columns called like results, and ids that repeat more often than the sample has rows
+    again = toxicity.score(docs.withColumns({"score": F.lit("x"), "predicted": F.lit(7), "held_out": F.lit(1)}), model)
+    assert sorted(map(str, again.collect())) == sorted(map(str, out))
+    many = toxicity.train(docs.unionByName(docs), labels, rows=5)
+    assert toxicity.score(docs, many).count() == len(rows)
     for other in (labels.limit(0), labels.where("toxic = 0")):
         assert all(r.score < 0.5 and not r.spans for r in toxicity.score(docs, toxicity.train(docs, other)).collect())
     assert toxicity.score(empty, model).collect() == []
@@ -469,6 +545,37 @@ def test_lm_scores(docs, rows, ranks, empty):
     assert lattice.score(empty, ranks).collect() == []
 
 
+def test_lm_scores_after_rounds_of_fitting(spark, ranks):
+    """Probabilities of whole texts after two rounds, against sums over all segmentations, one by one."""
+    raw = [base64.b64decode(x.split()[0]) for x in open(ranks, "rb")]
+    at = {piece: i for i, piece in enumerate(raw)}
+    texts = ["the cat", "The  cat sat", None, "", "a catalogue é", "cat\nsat", "held out word", "the the the", "xqzzj cat"]
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))]
+    scores = list(lattice.Pieces(raw).scores)
+
+    def ways(word):
+        """All segmentations as lists of pieces."""
+        return [[]] if not word else [[at[word[:k]], *rest] for k in range(1, len(word) + 1) if word[:k] in at for rest in ways(word[k:])]
+
+    train = [t for t, h in zip(texts, held, strict=True) if not h]
+    for _ in range(2):
+        expected = [lattice.ADDED] * len(raw)
+        for t in train:
+            for w in words(t):
+                each = [(x, math.exp(sum(scores[i] for i in x))) for x in ways(b" " + w)]
+                total = sum(p for _, p in each)
+                for x, p in each:
+                    for i in x:
+                        expected[i] += p / total
+        total = sum(expected) + len(train) + lattice.ADDED
+        scores, end = [math.log(e / total) for e in expected], math.log((len(train) + lattice.ADDED) / total)
+    want = [(sum(math.log(sum(math.exp(sum(scores[i] for i in x)) for x in ways(b" " + w))) for w in words(t)) + end) / math.log(10) for t in texts]
+    got = {r.doc_id: r for r in lattice.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), ranks, rounds=2).collect()}
+    assert len(got) == len(texts)
+    for i, x in enumerate(want):
+        assert got[i].held_out == held[i] and math.isclose(got[i].score, x, rel_tol=1e-9), (texts[i], got[i].score, x)
+
+
 def test_varints():
     v = np.array([0, 1, 127, 128, 16383, 16384, 2**21 - 1] * 3)
     assert (lattice.unpacked(lattice.packed(v)) == v).all() and len(lattice.unpacked(b"")) == 0
@@ -538,6 +645,34 @@ def test_warc(spark, tmp_path):
         warc.write(df, f"file://{tmp_path}/a")
 
 
+def test_warc_shards_of_uneven_ids(spark, tmp_path):
+    """Outlying ids, and rows without id, don't put all others into one shard."""
+    r = random.Random(2)
+    pages = [(i, "u", "".join(r.choice("abcdef ") for _ in range(2000))) for i in range(300)] + [(-(2**63), "u", "low"), (2**63 - 1, "u", "high"), (10**15, "u", "far")]
+    pages += [(None, f"n{i}", "".join(r.choice("abcdef ") for _ in range(2000))) for i in range(200)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    listed = warc.write(df, f"file://{tmp_path}/u", shard_bytes=50_000).collect()
+    assert sum(f.records for f in listed) == len(pages) and max(f.records for f in listed) < 60 and len({f.shard for f in listed}) >= 18
+    out = warc.read(spark, f"file://{tmp_path}/u").collect()
+    assert Counter((x.id, bytes(x.payload).decode()) for x in out) == Counter((i, h) for i, _, h in pages) and all(x.block_ok for x in out)
+
+
+def test_warc_second_attempts(tmp_path):
+    """A finished file of the same bytes stays; one that an earlier, unlisted run has left is replaced."""
+    def attempt(text):
+        roll = warc.Roll(f"file://{tmp_path}", 0, 1 << 20)
+        roll.add(1, text)
+        return roll
+
+    one, two = attempt(b"same"), attempt(b"same")
+    row = one.close()
+    before = os.stat(tmp_path / row[1])
+    assert two.close() == row and os.stat(tmp_path / row[1]).st_ino == before.st_ino
+    assert not os.listdir(tmp_path / "_temporary")
+    other = attempt(b"other").close()
+    assert gzip.decompress((tmp_path / row[1]).read_bytes()) == b"other" and other[4] != row[4]
+
+
 def test_warc_of_nothing(spark, tmp_path):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.write(df, f"file://{tmp_path}/e").collect() == [] and warc.read(spark, f"file://{tmp_path}/e").collect() == []
