@@ -10,9 +10,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .chains import running, written
+
 #: Bytes of the shortest, usual and longest chunk.
 SHORTEST, USUAL, LONGEST = 4096, 8192, 32768
 _GEAR = np.random.default_rng(8192).integers(0, 2**63, 256, dtype=np.uint64)
@@ -80,19 +82,26 @@ def restore(chunks: DataFrame) -> DataFrame:
     """Each value from its chunks in order, and whether every chunk still has its hash."""
     parts = F.sort_array(F.collect_list(F.struct("seq", "data", "hash")))
     g = chunks.groupBy("source_id").agg(parts.alias("p"))
-    whole = F.aggregate("p", F.lit(b"").cast("binary"), lambda a, p: F.concat(a, p["data"]))
+    whole = F.unhex(F.array_join(F.transform("p", lambda p: F.hex(p["data"])), ""))
     return g.select("source_id", whole.alias("data"), F.forall("p", lambda p: F.sha2(p["data"], 256) == p["hash"]).alias("ok"))
 
 
+def _firsts(refs: DataFrame) -> DataFrame:
+    """The first reference of each hash over all manifests in order; sums are taken before the shuffle."""
+    return refs.groupBy("hash").agg(F.min(F.struct("manifest", "seq", "length")).alias("f")).select("hash", "f.*")
+
+
 def new_chunks(refs: DataFrame) -> DataFrame:
     """References with whether each is its hash's first over all manifests in order."""
-    w = Window.partitionBy("hash").orderBy("manifest", "seq")
-    return refs.withColumn("is_new", F.row_number().over(w) == 1)
+    firsts = written(_firsts(refs).select("hash", F.col("manifest").alias("__manifest"), F.col("seq").alias("__seq")), "firsts")
+    return refs.join(firsts, "hash").withColumn("is_new", (F.col("manifest") == F.col("__manifest")) & (F.col("seq") == F.col("__seq"))).drop("__manifest", "__seq")
 
 
 def manifest_totals(refs: DataFrame) -> DataFrame:
     """Of each manifest: chunks, bytes, new chunks and their bytes, and the share that was saved."""
-    g = new_chunks(refs).groupBy("manifest").agg(F.count("*").alias("chunks"), F.sum("length").alias("bytes"), F.count_if("is_new").alias("new_chunks"), F.sum(F.when(F.col("is_new"), F.col("length")).otherwise(0)).alias("new_bytes"))
+    new = _firsts(refs).groupBy("manifest").agg(F.count("*").alias("new_chunks"), F.sum("length").alias("new_bytes"))
+    g = refs.groupBy("manifest").agg(F.count("*").alias("chunks"), F.sum("length").alias("bytes")).join(new, "manifest", "left")
+    g = g.select("manifest", "chunks", "bytes", F.coalesce("new_chunks", F.lit(0)).alias("new_chunks"), F.coalesce("new_bytes", F.lit(0)).alias("new_bytes"))
     return g.withColumn("dedup_ratio", F.round(F.when(F.col("bytes") > 0, 1 - F.col("new_bytes") / F.col("bytes")).otherwise(0.0), 6))
 
 
@@ -135,5 +144,4 @@ def split_layout(blobs: DataFrame, streams: int, id: str = "blob_id", data: str
     """Each row's stream and its offset there, by row id."""
     size = F.coalesce(F.octet_length(data), F.lit(0)).cast("long")
     placed = blobs.select(F.col(id), F.pmod(F.col(id), F.lit(streams)).cast("int").alias("stream"), size.alias("size"))
-    w = Window.partitionBy("stream").orderBy(id).rowsBetween(Window.unboundedPreceding, -1)
-    return placed.withColumn("offset", F.coalesce(F.sum("size").over(w), F.lit(0)))
+    return running(placed, ["stream"], F.floor(F.col(id) / 4096), [id], F.col("size"), "offset")

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import udtf
 
 from ..functions import scalars as x
+from .chains import depths
 
 
 def _upper(sql: Column) -> Column:
@@ -71,10 +72,10 @@ def object_order(objects: DataFrame, kind: str = "kind") -> DataFrame:
     return objects.withColumn("rank", _rank(F.col(kind), ("schema", "sequence", "table", "view", "function"))).orderBy("rank", "id")
 
 
-def dependency_order(entries: DataFrame, hops: int = 10_000) -> DataFrame:
+def dependency_order(entries: DataFrame) -> DataFrame:
     """entries: dump_id, depends_on (0: nothing). The depth from the roots; what hangs on a cycle, or on nothing known, comes last."""
-    depth = entries.sparkSession.sql(f"WITH RECURSIVE down(dump_id, depth) MAX RECURSION LEVEL {int(hops)} AS (SELECT dump_id, 0 FROM {{e}} WHERE depends_on = 0 UNION ALL SELECT e.dump_id, d.depth + 1 FROM down d JOIN {{e}} e ON e.depends_on = d.dump_id) SELECT dump_id, depth FROM down", e=entries)
-    return entries.select("dump_id").join(depth, "dump_id", "left").select("dump_id", "depth", F.col("depth").isNull().alias("leftover"))
+    depth = depths(entries.select(F.col("dump_id").alias("id"), F.col("depends_on").alias("parent")))
+    return depth.select(F.col("id").alias("dump_id"), "depth", F.col("depth").isNull().alias("leftover"))
 
 
 def select_tables(tables: DataFrame, include_schemas: Sequence[str] = (), exclude_schemas: Sequence[str] = (), include: Sequence[str] = (), exclude: Sequence[str] = (), pattern: str | None = None, min_rows: int = 0, max_rows: int = 0) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as x
+from .chains import ancestors
 
 
 def number_of(name: Column) -> Column:
@@ -32,24 +33,53 @@ def chain_summary(files: DataFrame) -> DataFrame:
     return chain(files).agg(F.count("*").alias("files"), F.count_if(F.col("missing") > 0).alias("gaps"), F.sum("missing").alias("missing"), F.count_if("server_changed").alias("warnings"), (F.count_if(F.col("missing") > 0) == 0).alias("valid"))
 
 
+#: Ranges that overlapping() takes at a time, and log numbers in a span.
+RANGES, SPAN = 10_000, 1024
+
+
 def overlapping(files: DataFrame, ranges: DataFrame, as_of: str) -> DataFrame:
-    """Files whose time overlaps a range (range_id, range_start, range_end); a file without times always does, an open end lasts until now. The ranges are few."""
+    """Files whose time overlaps a range (range_id, range_start, range_end); a file without times always does, an open end lasts until now. At most RANGES ranges, which go to every executor."""
+    if ranges.limit(RANGES + 1).count() > RANGES:
+        raise ValueError(f"more than {RANGES} ranges: ask for them in parts")
     end = F.coalesce("end_time", F.lit(as_of).cast("timestamp_ntz"))
     timeless = F.col("start_time").isNull() & F.col("end_time").isNull()
     on = timeless | ((F.coalesce(F.col("start_time"), F.col("range_start")) <= F.col("range_end")) & (end >= F.col("range_start")))
-    return files.join(ranges, on).select("range_id", "name")
+    return files.join(F.broadcast(ranges), on).select("range_id", "name")
 
 
 def recovery_windows(bases: DataFrame, files: DataFrame, as_of: str) -> DataFrame:
     """bases: (base_id, base_time, start_number). For each the log files from its start on: how many, the last by end time, and gaps among them.
 
-    Files are summed once from the end of the series; a base looks up its start, so that nothing grows with bases times files.
+    The series is cut into spans of numbers. Inside a span files are summed from its end; whole spans are summed from the
+    end of the series. A base finds its place by its span, so that nothing grows with bases times files.
     """
-    after = Window.orderBy("number").rowsBetween(0, Window.unboundedFollowing)
-    gap = F.when(F.lead("number").over(Window.orderBy("number")) != F.col("number") + 1, 1).otherwise(0)
-    f = files.select("number", "name", "end_time", gap.alias("gap")).select("number", F.count("*").over(after).alias("log_files"), F.max(F.struct("end_time", "number", "name")).over(after).alias("last"), F.sum("gap").over(after).alias("gaps"), F.lag("number", 1, -1).over(Window.orderBy("number")).alias("before"))
-    out = bases.join(f, (F.col("start_number") > F.col("before")) & (F.col("start_number") <= F.col("number")), "left")
-    return out.select("base_id", "base_time", F.coalesce("log_files", F.lit(0)).alias("log_files"), F.coalesce(F.col("last.end_time"), F.lit(as_of).cast("timestamp_ntz")).alias("end_time"), F.col("last.name").alias("last_file"), F.coalesce(F.col("gaps") > 0, F.lit(False)).alias("has_gaps"))
+    def span(number: str) -> Column:
+        return F.floor(F.col(number) / SPAN).alias("span")
+
+    told = F.struct("end_time", "number", "name")
+    f = files.select("number", "name", "end_time", span("number"))
+    w = Window.partitionBy("span").orderBy("number")
+    f = f.withColumn("next", F.lead("number").over(w))
+    rest = w.rowsBetween(0, Window.unboundedFollowing)
+    gap = F.when(F.col("next") != F.col("number") + 1, 1).otherwise(0)
+    inside = f.select("span", "number", F.count("*").over(rest).alias("n"), F.max(told).over(rest).alias("last"), F.sum(gap).over(rest).alias("gaps"), F.lag("number", 1, -1).over(w).alias("before"))
+    sums = f.groupBy("span").agg(F.count("*").alias("n"), F.max(told).alias("last"), F.sum(gap).alias("gaps"), F.min("number").alias("low"), F.max("number").alias("high"))
+    sums = sums.unionByName(bases.select(span("start_number")).distinct().join(sums, "span", "left_anti"), allowMissingColumns=True)
+    # a row for each span of numbers: few enough for one order
+    order = Window.orderBy(F.col("span").desc())
+    later = order.rowsBetween(Window.unboundedPreceding, -1)
+    following = F.last("low", ignorenulls=True).over(later)
+    sums = sums.select("span", F.coalesce(F.sum("n").over(later), F.lit(0)).alias("later_n"), F.max("last").over(later).alias("later_last"), F.coalesce(F.sum("gaps").over(later), F.lit(0)).alias("later_gaps"), F.when(following != F.col("high") + 1, 1).otherwise(0).alias("edge"))
+    # the gap after a span's last file is counted with the spans before it
+    edges = Window.orderBy(F.col("span").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("later_gaps", F.col("later_gaps") + F.coalesce(F.sum("edge").over(edges), F.lit(0)))
+    b = bases.select("base_id", "base_time", "start_number", span("start_number")).join(sums, "span")
+    i = inside.withColumnRenamed("span", "own_span")
+    out = b.join(i, (F.col("span") == F.col("own_span")) & (F.col("start_number") > F.col("before")) & (F.col("start_number") <= F.col("number")), "left")
+    last = F.greatest(F.col("last"), F.col("later_last"))
+    gaps = F.coalesce(F.col("gaps") + F.col("edge"), F.lit(0)) + F.col("later_gaps")
+    out = out.withColumn("newest", last)
+    return out.select("base_id", "base_time", (F.coalesce("n", F.lit(0)) + F.col("later_n")).alias("log_files"), F.coalesce(F.col("newest.end_time"), F.lit(as_of).cast("timestamp_ntz")).alias("end_time"), F.col("newest.name").alias("last_file"), (gaps > 0).alias("has_gaps"))
 
 
 def replay_files(files: DataFrame, first: int, last: int) -> DataFrame:
@@ -69,13 +99,14 @@ def archive_metrics(files: DataFrame, as_of: str) -> DataFrame:
     return g.withColumn("lag_seconds", x.seconds(F.col("newest"), F.lit(as_of).cast("timestamp_ntz"))).withColumn("window_minutes", F.floor(x.seconds(F.col("oldest"), F.col("newest")) / 60).cast("long"))
 
 
-TABLE_REFERENCE = r"(?i)(?:INSERT\s+INTO|UPDATE|DELETE\s+FROM|REPLACE\s+INTO|ALTER\s+TABLE|CREATE\s+TABLE|DROP\s+TABLE|TRUNCATE(?:\s+TABLE)?)\s+(?:IF\s+(?:NOT\s+)?EXISTS\s+)?(?:`?([A-Za-z0-9_]+)`?\.)?`?([A-Za-z0-9_]+)`?"
+#: Statements that change rows and name their table, statements of definition, and a whole line that chooses a database.
+TABLE_REFERENCE = r"(?i)(?:INSERT\s+INTO|UPDATE|DELETE\s+FROM|REPLACE\s+INTO)\s+(?:`?([A-Za-z0-9_]+)`?\.)?`?([A-Za-z0-9_]+)`?"
 DDL = r"(?i)^\s*(CREATE|ALTER|DROP|TRUNCATE|RENAME)\s"
-USE = r"(?i)^USE\s+`?([A-Za-z0-9_]+)`?"
+USE = r"(?i)^USE\s+`?([A-Za-z0-9_]+)`?\s*;?\s*$"
 
 
 def filter_lines(lines: DataFrame, include: Sequence[str] = (), exclude: Sequence[str] = (), skip_ddl: bool = False) -> DataFrame:
-    """Log text (stream, line_no, line) with whether each line is kept. Comments and USE stay; a table without database takes that of the last USE before it."""
+    """Log text (stream, line_no, line) with whether each line is kept. Comments and USE stay; a table without database takes that of the last USE before it. The lists only judge statements that change rows; definitions go with skip_ddl alone."""
     text = F.trim("line")
     used = F.nullif(F.regexp_extract(text, USE, 1), F.lit(""))
     current = F.last(used, ignorenulls=True).over(Window.partitionBy("stream").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
@@ -154,14 +185,19 @@ def target_config(targets: DataFrame) -> DataFrame:
 
 
 def timeline_paths(timelines: DataFrame, hops: int = 100) -> DataFrame:
-    """(timeline, ancestor, depth) from each timeline up to its root, at most that many hops. Each round doubles nothing but follows all paths one step, as a written plan in SQL."""
-    spark = timelines.sparkSession
-    return spark.sql(
-        f"""WITH RECURSIVE up(timeline, ancestor, parent, depth) AS (
-            SELECT timeline, timeline, parent, 0 FROM {{t}} UNION ALL SELECT u.timeline, t.timeline, t.parent, u.depth + 1 FROM up u JOIN {{t}} t ON t.timeline = u.parent WHERE u.depth < {int(hops)})
-        SELECT timeline, ancestor, depth FROM up""",
-        t=timelines,
-    )
+    """(timeline, ancestor, depth) from each timeline up to its root. Timelines whose way is longer than that many hops have no path: see endless_timelines()."""
+    found = _all_paths(timelines, hops)
+    return found.join(found.where(F.col("depth") > hops).select("timeline").distinct(), "timeline", "left_anti")
+
+
+def endless_timelines(timelines: DataFrame, hops: int = 100) -> DataFrame:
+    """Timelines whose way up is longer than that many hops, which a cycle may have made."""
+    return _all_paths(timelines, hops).where(F.col("depth") > hops).select("timeline", F.lit("possible cycle").alias("error")).distinct()
+
+
+def _all_paths(timelines: DataFrame, hops: int) -> DataFrame:
+    links = timelines.select(F.col("timeline").alias("id"), "parent")
+    return ancestors(links, links, hops + 1).select(F.col("id").alias("timeline"), F.col("link").alias("ancestor"), "depth")
 
 
 def broken_timelines(timelines: DataFrame) -> DataFrame:
@@ -190,16 +226,15 @@ def timeline_tree(timelines: DataFrame, hops: int = 100) -> DataFrame:
 
 
 def base_chain(backups: DataFrame, start: Column, hops: int = 100) -> DataFrame:
-    """(id, base_id, depth): each backup that fits, what it builds on, up to a full one. backups: id, base_id."""
-    spark = backups.sparkSession
-    return spark.sql(f"WITH RECURSIVE up(id, link, base_id, depth) AS (SELECT id, id, base_id, 0 FROM {{s}} UNION ALL SELECT u.id, b.id, b.base_id, u.depth + 1 FROM up u JOIN {{b}} b ON b.id = u.base_id WHERE u.depth < {int(hops)}) SELECT id, link, depth FROM up", s=backups.where(start), b=backups)
+    """(id, link, depth): each backup that fits, what it builds on, up to a full one. backups: id, base_id."""
+    return ancestors(backups.select("id", F.col("base_id").alias("parent")), backups.where(start).select("id"), hops)
 
 
 def required_files(files: DataFrame, first: str, until: str) -> DataFrame:
     """Archived files (name, mod_time) from a name on, up to and with the first that is newer than the target time."""
-    late = F.col("mod_time") > F.lit(until).cast("timestamp_ntz")
-    w = Window.orderBy("name").rowsBetween(Window.unboundedPreceding, -1)
-    return files.where(F.col("name") >= first).withColumn("past", F.coalesce(F.max(late).over(w), F.lit(False))).where("not past").select("name", "mod_time")
+    named = files.where(F.col("name") >= first).select("name", "mod_time")
+    end = named.where(F.col("mod_time") > F.lit(until).cast("timestamp_ntz")).agg(F.min("name").alias("end"))
+    return named.join(F.broadcast(end)).where("end is null or name <= end").select("name", "mod_time")
 
 
 def choose_node(nodes: DataFrame, max_lag: float, strategy: str = "lowest_lag", prefer_replica: bool = True, by: Sequence[str] = ("cluster",)) -> DataFrame:
