@@ -117,6 +117,45 @@ def looks(profile: Column) -> Column:
     return F.when(profile["text_share"] > 0.85, "text").when(profile["chi_square"] < 300, "random").otherwise("binary")
 
 
+#: A second list of formats in order: name, endings, first bytes in hexadecimal digits, whether they are worth compressing.
+NAMES = (
+    ("JPEG", (".jpg", ".jpeg"), "FFD8FF", False),
+    ("PNG", (".png",), "89504E47", False),
+    ("GIF", (".gif",), "47494638", False),
+    ("WebP", (".webp",), "52494646", False),
+    ("GZIP", (".gz", ".gzip"), "1F8B", False),
+    ("ZIP", (".zip",), "504B0304", False),
+    ("ZSTD", (".zst", ".zstd"), "28B52FFD", False),
+    ("XZ", (".xz",), "FD377A585A", False),
+    ("BZIP2", (".bz2",), "425A68", False),
+    ("7Z", (".7z",), "377ABCAF271C", False),
+    ("RAR", (".rar",), "52617221", False),
+    ("MP4", (".mp4", ".m4v"), "000000", False),
+    ("MP3", (".mp3",), "FFFB", False),
+    ("OGG", (".ogg", ".oga", ".ogv"), "4F676753", False),
+    ("PDF", (".pdf",), "25504446", False),
+    ("DOCX/Office", (".docx", ".xlsx", ".pptx"), "504B0304", False),
+    ("BMP", (".bmp",), "424D", True),
+    ("TIFF", (".tif", ".tiff"), "49492A00", True),
+    ("XML", (".xml",), "3C3F786D6C", True),
+    ("JSON", (".json",), "7B", True),
+)
+#: What remains, by look.
+LOOKS = {"text": ("TEXT", True), "random": ("RANDOM/ENCRYPTED", False), "binary": ("UNKNOWN_BINARY", True)}
+
+
+def named_format(data: Column, look: Column) -> Column:
+    """(name, compressible) by the second list, the first match winning; by look where none matches."""
+    head = head_of(data)
+
+    def told(name: str, good: bool) -> Column:
+        return F.struct(F.lit(name).alias("name"), F.lit(good).alias("compressible"))
+
+    first, *rest = NAMES
+    rules = reduce(lambda w, s: w.when(head.startswith(s[2]), told(s[0], s[3])), rest, F.when(head.startswith(first[2]), told(first[0], first[3])))
+    return reduce(lambda w, k: w.when(look == k, told(*LOOKS[k])), LOOKS, rules)
+
+
 def type_of(data: Column, entropy: Column) -> Column:
     """By signature, then by entropy: over 7.5 compressed, under 4.5 text, else binary. Under 16 bytes unknown."""
     head = head_of(data)

@@ -106,6 +106,12 @@ def paths(t: DataFrame) -> DataFrame:
     return g.timeline_paths(t)
 
 
+@query("g1_endless_timelines", "timelines", sql="SELECT timeline, 'possible cycle' AS error FROM timelines WHERE timeline IN (5, 10, 11, 20, 21, 22, 23)")
+def endless(t: DataFrame) -> DataFrame:
+    """Once timeline 5 has timeline 10 for its parent."""
+    return g.endless_timelines(t.withColumn("parent", F.when(F.col("timeline") == 5, 10).otherwise(F.col("parent"))))
+
+
 @query("g2_broken_timelines", "timelines", sql="SELECT timeline, parent FROM (SELECT timeline, parent FROM timelines WHERE timeline <> 3) WHERE timeline > 1 AND parent NOT IN (SELECT timeline FROM timelines WHERE timeline <> 3)")
 def broken(t: DataFrame) -> DataFrame:
     return g.broken_timelines(t.where("timeline <> 3"))
@@ -128,13 +134,13 @@ def backup_chain(t: DataFrame) -> DataFrame:
 
 def _lines(f: DataFrame) -> DataFrame:
     n = F.col("event_id")
-    text = F.when(n % 10 == 0, F.concat(F.lit("USE db"), (F.floor(n / 10) % 3).cast("string"), F.lit(";"))).when(n % 10 == 1, "# comment").when(n % 10 == 2, "ALTER TABLE t1 ADD c int;").when(n % 10 == 3, "INSERT INTO db1.t2 VALUES (1);").when(n % 10 == 4, "update `t3` set a = 1;").when(n % 10 == 5, "COMMIT;").otherwise(F.concat(F.lit("DELETE FROM t"), (n % 4).cast("string"), F.lit(" WHERE id = 1;")))
+    text = F.when(n % 10 == 0, F.concat(F.lit("USE db"), (F.floor(n / 10) % 3).cast("string"), F.lit(";"))).when(n % 10 == 1, "# comment").when(n % 10 == 2, "ALTER TABLE t1 ADD c int;").when(n % 10 == 3, "INSERT INTO db1.t2 VALUES (1);").when(n % 10 == 4, "update `t3` set a = 1;").when(n % 10 == 5, F.when(n % 20 == 5, "USE INDEX (i1)").otherwise("COMMIT;")).otherwise(F.concat(F.lit("DELETE FROM t"), (n % 4).cast("string"), F.lit(" WHERE id = 1;")))
     return f.select(F.floor(n / 1000).cast("long").alias("stream"), n.alias("line_no"), text.alias("line"))
 
 
 @query("f5_log_filter", "events_raw", sql="""
-l AS (SELECT event_id // 1000 AS stream, event_id AS line_no, CASE event_id % 10 WHEN 0 THEN 'u' WHEN 1 THEN 'c' WHEN 2 THEN 't1' WHEN 3 THEN 'db1.t2' WHEN 4 THEN 't3' WHEN 5 THEN 'x' ELSE 't' || event_id % 4 END AS k, CASE WHEN event_id % 10 = 0 THEN 'db' || (event_id // 10) % 3 END AS used FROM events),
-d AS (SELECT *, coalesce(last_value(used IGNORE NULLS) OVER (PARTITION BY stream ORDER BY line_no), '') AS db FROM l), n AS (SELECT *, CASE WHEN k IN ('u', 'c', 'x') THEN NULL WHEN k LIKE '%.%' THEN k ELSE db || '.' || k END AS tab FROM d)
+l AS (SELECT event_id // 1000 AS stream, event_id AS line_no, CASE event_id % 10 WHEN 0 THEN 'u' WHEN 1 THEN 'c' WHEN 2 THEN 'd' WHEN 3 THEN 'db1.t2' WHEN 4 THEN 't3' WHEN 5 THEN 'x' ELSE 't' || event_id % 4 END AS k, CASE WHEN event_id % 10 = 0 THEN 'db' || (event_id // 10) % 3 END AS used FROM events),
+d AS (SELECT *, coalesce(last_value(used IGNORE NULLS) OVER (PARTITION BY stream ORDER BY line_no), '') AS db FROM l), n AS (SELECT *, CASE WHEN k IN ('u', 'c', 'x', 'd') THEN NULL WHEN k LIKE '%.%' THEN k ELSE db || '.' || k END AS tab FROM d)
 SELECT stream, line_no, tab AS "table", CASE WHEN k IN ('u', 'c', 'x') THEN true WHEN line_no % 10 = 2 THEN false ELSE tab IN ('db1.t2', 'db0.t3', 'db2.t0', 'db1.t1') END AS keep FROM n""")
 def log_filter(e: DataFrame) -> DataFrame:
     return g.filter_lines(_lines(e), include=["db1.t2", "db0.t3", "db2.t0", "DB1.t1"], skip_ddl=True)

@@ -114,7 +114,11 @@ def entropy(x: DataFrame) -> DataFrame:
     return g.select("blob_id", F.round(F.log2("n") - F.col("s") / F.col("n"), 6).alias("entropy"))
 
 
-@query("x16_byte_entropy", "blobs")
+#: The entropy of at most the first 4096 bytes, by their pairs of hexadecimal digits.
+_ENTROPY = "be AS (SELECT blob_id, grp, octet_length(data) AS n, coalesce(list_aggregate(list_transform(range(0, least(octet_length(data), 4096)), lambda i: x[2 * i + 1:2 * i + 2]), 'entropy'), 0) AS e, x[1:40] AS h, data FROM (SELECT *, hex(data) AS x FROM blobs))"
+
+
+@query("x16_byte_entropy", "blobs", sql=f"{_ENTROPY} SELECT blob_id, round(e, 6) AS entropy FROM be")
 def byte_entropy(x: DataFrame) -> DataFrame:
     return x.select("blob_id", F.round(b.entropy_of(F.col("data")), 6).alias("entropy"))
 
@@ -131,7 +135,10 @@ def signature(x: DataFrame) -> DataFrame:
     return x.select("blob_id", kind.alias("type"), b.format_of(F.col("data")).alias("format"))
 
 
-@query("a14_type_histogram", "blobs")
+_TYPE = f"CASE WHEN coalesce(n, 0) < 16 THEN 'unknown' {_CASES} WHEN e > 7.5 THEN 'compressed' WHEN e < 4.5 THEN 'text' ELSE 'binary' END"
+
+
+@query("a14_type_histogram", "blobs", sql=f"{_ENTROPY}, t AS (SELECT {_TYPE} AS type, CASE WHEN n < 4 THEN 'unknown' {_FORMATS} ELSE 'unknown' END AS format, n FROM be) SELECT type, format, count(*) AS n, sum(n)::BIGINT AS bytes, CASE WHEN type = 'compressed' THEN sum(n)::BIGINT ELSE 0 END AS skipped_bytes FROM t GROUP BY type, format")
 def histogram(x: DataFrame) -> DataFrame:
     return b.histogram(x)
 
@@ -180,24 +187,38 @@ def times(t: DataFrame) -> DataFrame:
     return t.select("table_id", F.round(b.throughput(level, share), 6).alias("mb_per_s"), F.round(b.time_estimate(F.col("size_bytes"), level, share), 6).alias("seconds"))
 
 
-@query("x23_blob_decisions", "blobs")
+@query("x23_blob_decisions", "blobs", sql=f"{_ENTROPY}, t AS (SELECT blob_id, {_TYPE} AS type, min(blob_id) OVER (PARTITION BY data) AS first_id FROM be) SELECT blob_id, type, CASE WHEN type = 'compressed' THEN 0 WHEN type IN ('text', 'database') THEN 9 WHEN type = 'binary' THEN 3 ELSE 6 END AS level, CASE WHEN blob_id <> first_id THEN first_id END AS duplicate_of, CASE WHEN blob_id = first_id THEN (blob_id % 4)::INT END AS stream FROM t")
 def decisions(x: DataFrame) -> DataFrame:
     return b.decisions(x, 4)
 
 
-@query("p4_blob_sample", "blobs")
+_P4 = "md5('7/' || blob_id)"
+
+
+@query("p4_blob_sample", "blobs", sql=f"f AS (SELECT blob_id, octet_length(data)::BIGINT AS size, {_P4} AS r FROM blobs ORDER BY r, blob_id LIMIT 200) SELECT blob_id, size FROM (SELECT *, sum(size) OVER (ORDER BY r, blob_id) AS total FROM f) WHERE total <= 1048576")
 def sample(x: DataFrame) -> DataFrame:
-    """A random sample of at most 200 values and 1 MB: a sampling operator."""
+    """A random sample of at most 200 values and 1 MB, by a digest of the id, so that it doesn't change with partitions: a sampling operator."""
     from pyspark.sql import Window
 
-    few = x.select("blob_id", F.octet_length("data").cast("long").alias("size"), F.rand(7).alias("r")).orderBy("r").limit(200)
-    return few.withColumn("total", F.sum("size").over(Window.orderBy("r"))).where("total <= 1048576").select("blob_id", "size")
+    few = x.select("blob_id", F.octet_length("data").cast("long").alias("size"), F.md5(F.concat(F.lit("7/"), F.col("blob_id").cast("string")).cast("binary")).alias("r")).orderBy("r", "blob_id").limit(200)
+    return few.withColumn("total", F.sum("size").over(Window.orderBy("r", "blob_id"))).where("total <= 1048576").select("blob_id", "size")
+
+
+_NAMES = " ".join(f"WHEN starts_with(h, '{s[2]}') THEN '{s[0]}'" for s in b.NAMES)
+_GOOD = ", ".join(f"'{s[0]}'" for s in (*b.NAMES, *[(n, (), "", g) for n, g in b.LOOKS.values()]) if s[3])
 
 
-@query("x18_byte_profile", "blobs")
+# all values are text, so that bytes above 127 are
+@query("x18_byte_profile", "blobs", sql=f"""
+x AS (SELECT blob_id, hex(data) AS h, octet_length(data) AS n FROM blobs), y AS (SELECT blob_id, b, count(*) AS k FROM (SELECT blob_id, unnest(list_transform(range(0, n), lambda i: h[2 * i + 1:2 * i + 2])) AS b FROM x) GROUP BY blob_id, b),
+c AS (SELECT blob_id, sum(k) AS m, sum(k * k) AS q, sum(CASE WHEN (b >= '20' AND b <> '7F') OR b IN ('09', '0A', '0D') THEN k ELSE 0 END) AS t FROM y GROUP BY blob_id),
+p AS (SELECT blob_id, h, coalesce(t::DOUBLE / m, 0) AS ts, coalesce(256.0::DOUBLE * q / m - m, 0) AS cs FROM x LEFT JOIN c USING (blob_id)),
+l AS (SELECT *, CASE WHEN ts > 0.85 THEN 'text' WHEN cs < 300 THEN 'random' ELSE 'binary' END AS looks FROM p),
+m AS (SELECT *, CASE {_NAMES} WHEN looks = 'text' THEN 'TEXT' WHEN looks = 'random' THEN 'RANDOM/ENCRYPTED' ELSE 'UNKNOWN_BINARY' END AS name FROM l)
+SELECT blob_id, round(ts, 6) AS text_share, round(cs, 3) AS chi_square, looks, name, name IN ({_GOOD}) AS compressible FROM m""")
 def byte_profile(x: DataFrame) -> DataFrame:
-    p = x.select("blob_id", b.byte_profile(F.col("data")).alias("p"))
-    return p.select("blob_id", F.round("p.text_share", 6).alias("text_share"), F.round("p.chi_square", 3).alias("chi_square"), b.looks(F.col("p")).alias("looks"))
+    p = x.select("blob_id", "data", b.byte_profile(F.col("data")).alias("p")).withColumn("looks", b.looks(F.col("p")))
+    return p.withColumn("f", b.named_format(F.col("data"), F.col("looks"))).select("blob_id", F.round("p.text_share", 6).alias("text_share"), F.round("p.chi_square", 3).alias("chi_square"), "looks", "f.name", "f.compressible")
 
 
 @query("s15_object_packs", "blobs", sql="SELECT count(*) AS objects, sum(octet_length(data))::BIGINT AS bytes, sum(blob_id)::BIGINT AS ids FROM blobs")

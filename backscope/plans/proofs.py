@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as x
 from ..operators import proofs as p
+from ..operators import reports
 from ..operators import schedule as s
+from ..operators.chains import previous, running
 from ..sources.views import AS_OF
 from .catalog import GAPS, aged
 from .registry import query
@@ -143,6 +145,47 @@ def findings(b: DataFrame) -> DataFrame:
     return p.findings(p.judged(p.evidence(b)))
 
 
+REPORT = f"""{JUDGED},
+pc AS (SELECT framework, category, max(weight) AS w, 100.0 * sum(CASE status WHEN 'compliant' THEN 1.0 WHEN 'partial' THEN 0.5 ELSE 0 END)::DOUBLE / count(*) AS s, count(*) AS n, count(*) FILTER (status = 'compliant') AS ok, count(*) FILTER (status = 'non_compliant' AND rule = 'encryption') AS hi, count(*) FILTER (status = 'non_compliant' AND rule <> 'encryption') AS me FROM ju GROUP BY framework, category),
+wh AS (SELECT framework, printf('%.1f', round(sum(s * w) / sum(w), 1)) AS score, printf('%.1f', round(100.0 * sum(ok)::DOUBLE / sum(n), 1)) AS rate, (5 * sum(hi) + 2 * sum(me))::BIGINT AS risk, sum(s * w) / sum(w) >= 100 AS whole, sum(hi) + sum(me) > 0 AS bad FROM pc GROUP BY framework),
+st AS (SELECT *, CASE WHEN whole THEN 'compliant' WHEN bad THEN 'non_compliant' ELSE 'partial' END AS status FROM wh),
+ca AS (SELECT framework, category AS name, printf('%.1f', round(s, 1)) AS score, CASE WHEN round(s, 1) >= 100 THEN 'compliant' WHEN s > 0 THEN 'partial' ELSE 'non_compliant' END AS status FROM pc),
+fi AS (SELECT framework, control, CASE WHEN rule = 'encryption' THEN 'high' ELSE 'medium' END AS severity, CASE control {_ADVICE} ELSE '{p.ADVICE['']}' END AS recommendation FROM ju WHERE status = 'non_compliant')"""
+_N = "chr(10)"
+
+
+def _report(style: str, b: DataFrame) -> DataFrame:
+    return reports.render(p.judged(p.evidence(b)), style, "Backup controls", AS_OF)
+
+
+@query("s19_report_markdown", "backups", sql=f"""{REPORT},
+cl2 AS (SELECT framework, string_agg('| ' || name || ' | ' || score || ' | ' || status || ' |', {_N} ORDER BY name) AS t FROM ca GROUP BY framework), fl AS (SELECT framework, string_agg('| ' || control || ' | ' || severity || ' | ' || recommendation || ' |', {_N} ORDER BY control) AS t FROM fi GROUP BY framework)
+SELECT framework, concat_ws({_N}, '# Backup controls: ' || framework, '', 'Made at {AS_OF}. State: ' || status || '. Score ' || score || ' %, rate ' || rate || ' %, risk ' || risk || '.', '', '| Category | Score | State |', '|-|-|-|', cl2.t, '', '| Control | Severity | What to do |', '|-|-|-|', fl.t) AS report FROM st JOIN cl2 USING (framework) LEFT JOIN fl USING (framework)""")
+def report_markdown(b: DataFrame) -> DataFrame:
+    return _report("markdown", b)
+
+
+@query("s19_report_html", "backups", sql=f"""{REPORT},
+cl2 AS (SELECT framework, string_agg('<tr class="' || status || '"><td>' || name || '</td><td>' || score || '</td></tr>', {_N} ORDER BY name) AS t FROM ca GROUP BY framework), fl AS (SELECT framework, string_agg('<tr class="' || severity || '"><td>' || control || '</td><td>' || recommendation || '</td></tr>', {_N} ORDER BY control) AS t FROM fi GROUP BY framework)
+SELECT framework, concat_ws({_N}, '<!DOCTYPE html>', '<html><head><meta charset="UTF-8"><title>Backup controls</title></head><body>', '<h1>Backup controls: ' || framework || '</h1>', '<p class="' || status || '">Made at {AS_OF}. Score ' || score || ' %, rate ' || rate || ' %, risk ' || risk || '.</p>', '<table>', cl2.t, '</table>', '<table>', fl.t, '</table>', '</body></html>') AS report FROM st JOIN cl2 USING (framework) LEFT JOIN fl USING (framework)""")
+def report_html(b: DataFrame) -> DataFrame:
+    return _report("html", b)
+
+
+@query("s19_report_console", "backups", sql=f"""{REPORT},
+cl2 AS (SELECT framework, string_agg('  ' || rpad(CASE status WHEN 'compliant' THEN '[ok]' WHEN 'partial' THEN '[part]' ELSE '[fail]' END, 7, ' ') || rpad(name, 24, ' ') || score, {_N} ORDER BY name) AS t FROM ca GROUP BY framework), fl AS (SELECT framework, string_agg('  ' || rpad(severity, 7, ' ') || rpad(control, 24, ' ') || recommendation, {_N} ORDER BY control) AS t FROM fi GROUP BY framework)
+SELECT framework, concat_ws({_N}, 'Backup controls: ' || framework, 'made at {AS_OF}, ' || status || ', score ' || score || ' %, rate ' || rate || ' %, risk ' || risk, 'categories', cl2.t, 'findings', fl.t) AS report FROM st JOIN cl2 USING (framework) LEFT JOIN fl USING (framework)""")
+def report_console(b: DataFrame) -> DataFrame:
+    return _report("console", b)
+
+
+@query("s19_report_json", "backups", sql=f"""{REPORT},
+cl2 AS (SELECT framework, string_agg('{{{{"name":"' || name || '","score":' || score || ',"status":"' || status || '"}}}}', ',' ORDER BY name) AS t FROM ca GROUP BY framework), fl AS (SELECT framework, string_agg('{{{{"control":"' || control || '","severity":"' || severity || '","recommendation":"' || recommendation || '"}}}}', ',' ORDER BY control) AS t FROM fi GROUP BY framework)
+SELECT framework, '{{{{"title":"Backup controls","framework":"' || framework || '","generated_at":"{AS_OF}","status":"' || status || '","score":' || score || ',"rate":' || rate || ',"risk":' || risk || ',"categories":[' || cl2.t || '],"findings":[' || coalesce(fl.t, '') || ']}}}}' AS report FROM st JOIN cl2 USING (framework) LEFT JOIN fl USING (framework)""".replace("{{", "{").replace("}}", "}"))
+def report_json(b: DataFrame) -> DataFrame:
+    return _report("json", b)
+
+
 HEALTH = f"""{GAPS}, live AS (SELECT * FROM backups WHERE status <> 'deleted'),
 ag AS (SELECT epoch(TIMESTAMP '{AS_OF}')::BIGINT - epoch(max(created_at))::BIGINT AS age, 100.0 * count(*) FILTER (verified_at IS NOT NULL AND verify_valid) / count(*) AS pct, count(*) AS n FROM live), gc AS (SELECT count(*) AS n, count(*) FILTER (severity = 'critical') AS c FROM gaps),
 tp AS (SELECT *, row_number() OVER (ORDER BY created_at DESC, id DESC) AS r FROM live QUALIFY r <= 50), sn AS (SELECT count(*) FILTER (r <= 10 AND size IS NULL) AS missing, count(*) FILTER (r <= 10 AND size <> size_bytes) AS wrong, count(*) FILTER (size IS NULL) AS orphans FROM tp LEFT JOIN files ON path = backup_path WHERE cloud_location IS NULL),
@@ -195,24 +238,20 @@ def severities(o: DataFrame) -> DataFrame:
 
 @query("x40_deltas", "backups", sql="SELECT database, id, size_bytes - lag(size_bytes) OVER w AS size_delta, round(duration - lag(duration) OVER w, 6) AS duration_delta FROM backups WINDOW w AS (PARTITION BY database ORDER BY created_at, id)")
 def deltas(b: DataFrame) -> DataFrame:
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("database").orderBy("created_at", "id")
-    return b.select("database", "id", (F.col("size_bytes") - F.lag("size_bytes").over(w)).alias("size_delta"), F.round(F.col("duration") - F.lag("duration").over(w), 6).alias("duration_delta"))
+    rows = previous(b, ["database"], F.date_trunc("month", "created_at"), ["created_at", "id"], {"size_bytes": "size_before", "duration": "duration_before"})
+    return rows.select("database", "id", (F.col("size_bytes") - F.col("size_before")).alias("size_delta"), F.round(F.col("duration") - F.col("duration_before"), 6).alias("duration_delta"))
 
 
 @query("p1_every_nth", "backups", sql="SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY database ORDER BY id) AS r FROM backups) WHERE r % 10 = 1")
 def every_nth(b: DataFrame) -> DataFrame:
     """A sampling operator: every tenth row of each database, by id."""
-    from pyspark.sql import Window
-
-    return b.withColumn("r", F.row_number().over(Window.partitionBy("database").orderBy("id"))).where("r % 10 = 1").select("id")
+    return running(b, ["database"], F.floor(F.col("id") / 4096), ["id"], F.lit(1), "r").where("r % 10 = 0").select("id")
 
 
-@query("p2_percent", "backups")
+@query("p2_percent", "backups", sql="SELECT id FROM backups WHERE ('0x' || md5('11/' || id)[1:8])::BIGINT % 1000 < 100")
 def percent(b: DataFrame) -> DataFrame:
-    """A sampling operator: a tenth of the rows, seeded."""
-    return b.sample(0.1, 11).select("id")
+    """A sampling operator: a tenth of the rows, by a digest of the id, so that it doesn't change with partitions."""
+    return p.percent_sample(b, F.col("id"), 10.0, 11).select("id")
 
 
 @query("p3_first_n", "backups", sql="SELECT id FROM backups ORDER BY id LIMIT 1000")

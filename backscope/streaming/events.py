@@ -21,11 +21,13 @@ def stream(spark: SparkSession, folder: str, schema: StructType, files_per_trigg
 
 def watch(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     """New files of a folder as (path, modificationTime, length, content), each once."""
-    return spark.readStream.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
+    return spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", pattern).load(folder)
 
 
-def wanted(events: DataFrame, databases: Sequence[str] = (), types: Sequence[str] = (), hosts: Sequence[str] = ()) -> DataFrame:
-    """The events of these databases, types and hosts; an empty list is no condition."""
+def wanted(events: DataFrame, databases: Sequence[str] = (), types: Sequence[str] = (), hosts: Sequence[str] = (), ddl: bool = True) -> DataFrame:
+    """The events of these databases, types and hosts; an empty list is no condition. Changes of definition (type ddl) only with the flag."""
+    if not ddl:
+        events = events.where(~F.col("type").eqNullSafe(F.lit("ddl")))
     for column, values in (("database", databases), ("type", types), ("host", hosts)):
         if values:
             events = events.where(F.col(column).isin(*values))
@@ -195,10 +197,14 @@ def adapted_rate(rate: float, outcomes: Sequence[bool], least: float, most: floa
     return rate
 
 
-def write_rotated(events: DataFrame, folder: str, checkpoint: str, rows_per_file: int = 100_000, compression: str = "gzip") -> Any:
-    """Write a stream as JSON lines, compressed, in files of a bounded number of rows; a batch that is written again replaces itself."""
+def write_rotated(events: DataFrame, folder: str, checkpoint: str, rows_per_file: int = 100_000, compression: str = "gzip", bytes_per_file: int | None = None) -> Any:
+    """Write a stream as JSON lines, compressed, in files of a bounded number of rows, or of about that many bytes before compression; a batch that is written again replaces itself."""
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).option("compression", compression).json(f"{folder}/batch={number}")
+        most = rows_per_file
+        if bytes_per_file:
+            mean = batch.agg(F.avg(F.octet_length(F.to_json(F.struct("*"))) + 1)).first()[0] or 1.0
+            most = max(1, min(rows_per_file, int(bytes_per_file / mean)))
+        batch.write.mode("overwrite").option("maxRecordsPerFile", most).option("compression", compression).json(f"{folder}/batch={number}")
 
     return events.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
