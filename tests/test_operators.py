@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from backscope.functions import scalars as x
-from backscope.operators import blobs, capacity, chunks, dumps, logs, proofs, retention, schedule
+from backscope.operators import blobs, capacity, chains, chunks, dumps, logs, proofs, reports, retention, schedule
 from backscope.operators import catalog as cat
 from backscope.sources import archives
 from backscope.streaming import events
@@ -139,7 +139,7 @@ def test_chunk_ends_match_a_rolling_sum():
             start, h = i + 1, 0
     if start < len(d):
         ends.append(len(d))
-    assert chunks.cuts(d)[:3] == ends[:3]
+    assert chunks.cuts(d) == ends
 
 
 def test_bloom_forgets_nothing():
@@ -262,3 +262,109 @@ def test_ema(spark):
     got = {r.key: r for r in events.ema_speed(spark.createDataFrame(rows, "key long, ts timestamp_ntz, seq long, delta long")).collect()}
     assert got[1].bytes_per_s == 1000 and got[1].warm and got[2].samples == 0
 
+
+
+def test_depths_of_long_chains_cycles_and_strangers(spark):
+    """A chain of over a million links, a cycle with a tail, and an entry that depends on nothing known."""
+    n = 1_200_000
+    rows = spark.range(1, n + 1).select(F.col("id").alias("dump_id"), (F.col("id") - 1).alias("depends_on"))
+    rows = rows.unionByName(spark.createDataFrame([(n + 10, n + 12), (n + 11, n + 10), (n + 12, n + 11), (n + 13, n + 10), (n + 20, n + 99)], "dump_id long, depends_on long"))
+    out = dumps.dependency_order(rows)
+    assert out.where("depth = dump_id - 1 and not leftover").count() == n
+    assert sorted(r.dump_id - n for r in out.where("leftover").collect()) == [10, 11, 12, 13, 20]
+
+
+def test_ancestors_against_walking(spark):
+    r = random.Random(5)
+    parent = {i: r.choice([0, i - 1, i - 1, i - 1, r.randrange(1, i + 1), 900]) for i in range(1, 300)}
+    got = {(x.id, x.link, x.depth) for x in logs.base_chain(spark.createDataFrame(list(parent.items()), "id long, base_id long"), F.col("id") % 2 == 0, hops=20).collect()}
+    want = set()
+    for i in range(2, 300, 2):
+        at, depth = i, 0
+        while at in parent and depth <= 20:
+            want.add((i, at, depth))
+            at, depth = parent[at], depth + 1
+    assert got == want
+
+
+def test_timelines_beyond_the_hops(spark):
+    """A chain of 140 and a cycle: only those too far from a root fail."""
+    links = [(1, 0)] + [(i, i - 1) for i in range(2, 141)] + [(500, 501), (501, 500)]
+    t = spark.createDataFrame(links, "timeline long, parent long")
+    assert {r.timeline for r in logs.endless_timelines(t).collect()} == {*range(102, 141), 500, 501}
+    paths = logs.timeline_paths(t)
+    assert paths.count() == sum(range(1, 102)) and paths.where("depth = 100").count() == 1
+
+
+def test_recovery_windows_over_spans(spark):
+    r = random.Random(7)
+    numbers = sorted(r.sample(range(8000), 3000) + list(range(20_000, 20_050)))
+    ends = {n: f"2024-01-01 00:{r.randrange(60):02d}:{r.randrange(60):02d}" for n in numbers}
+    files = spark.createDataFrame([(n, f"f{n}", ends[n]) for n in numbers], "number long, name string, e string").withColumn("end_time", F.col("e").cast("timestamp_ntz"))
+    starts = [0, 1, 1023, 1024, 1025, 7999, 8000, 15_000, 20_000, 20_010, 20_049, 20_050, 99_999] + r.sample(range(8000), 40)
+    bases = spark.createDataFrame([(i, s) for i, s in enumerate(starts)], "base_id long, start_number long").withColumn("base_time", F.lit("2024-01-01").cast("timestamp_ntz"))
+    got = {x.base_id: (x.log_files, x.last_file, x.has_gaps) for x in logs.recovery_windows(bases, files, "2024-02-01").collect()}
+    for i, s in enumerate(starts):
+        own = [n for n in numbers if n >= s]
+        last = max(((ends[n], n) for n in own), default=(None, None))[1]
+        assert got[i] == (len(own), last and f"f{last}", any(b != a + 1 for a, b in zip(own, own[1:]))), s
+
+
+def test_previous_and_running_over_spans(spark):
+    r = random.Random(8)
+    rows = [(r.choice(["a", "b", None]), i, r.choice([None, 1, 5, 9])) for i in r.sample(range(1000), 400)]
+    df = spark.createDataFrame(rows, "k string, i long, v long")
+    got = {x.i: (x.before, x.total) for x in chains.running(chains.previous(df, ["k"], F.floor(F.col("i") / 32), ["i"], {"v": "before"}), ["k"], F.floor(F.col("i") / 50), ["i"], F.col("v"), "total").collect()}
+    for k in ("a", "b", None):
+        before, total = None, 0
+        for _, i, v in sorted((x for x in rows if x[0] == k), key=lambda x: x[1]):
+            assert got[i] == (before, total)
+            before, total = v, total + (v or 0)
+
+
+def test_use_and_definitions_in_log_filters(spark):
+    lines = ["USE `shop` ;", "INSERT INTO t VALUES (1)", "USE INDEX (i1)", "INSERT INTO t VALUES (2)", "CREATE TABLE other (i int)", "DELETE FROM other", "use b", "UPDATE `t` SET i = 1", "drop table t"]
+    df = spark.createDataFrame([(1, i, t) for i, t in enumerate(lines)], "stream long, line_no long, line string")
+    kept = {r.line_no for r in logs.filter_lines(df, include=["shop.t"]).collect() if r.keep}
+    assert kept == {0, 1, 2, 3, 4, 6, 8}
+    assert {r.line_no for r in logs.filter_lines(df, include=["shop.t"], skip_ddl=True).collect() if r.keep} == {0, 1, 2, 3, 6}
+
+
+def test_too_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(logs, "RANGES", 3)
+    files = spark.createDataFrame([("f", None, None)], "name string, start_time timestamp_ntz, end_time timestamp_ntz")
+    ranges = spark.range(4).select(F.col("id").alias("range_id"), F.lit("2024-01-01").cast("timestamp_ntz").alias("range_start"), F.lit("2024-01-02").cast("timestamp_ntz").alias("range_end"))
+    with pytest.raises(ValueError):
+        logs.overlapping(files, ranges, "2024-01-01")
+    assert logs.overlapping(files, ranges.limit(3), "2024-01-01").count() == 3
+
+
+def test_reports_without_findings_and_odd_styles(spark):
+    facts = spark.createDataFrame([(10, 10, 3, 10)], "backups long, encrypted long, drills long, hashed long")
+    controls = proofs.judged(facts)
+    text = {r.framework: r.report for r in reports.render(controls, "html", "A < B & \"C\"", "2024-01-01").collect()}
+    assert len(text) == 5 and all("A &lt; B &amp; &quot;C&quot;" in t and 'class="compliant"' in t for t in text.values())
+    assert all(json.loads(r.report)["findings"] == [] for r in reports.render(controls, "json", "t", "now").collect())
+    with pytest.raises(ValueError):
+        reports.render(controls, "pdf", "t", "now")
+
+
+def test_exports_and_watched_files(spark, tmp_path):
+    order = archives.export_tables(spark, {"small": spark.range(3), "large": spark.range(50), "other": spark.range(1)}, f"file://{tmp_path}/x", {"large": 50, "small": 3})
+    assert order == ["large", "small", "other"] and [spark.read.parquet(f"file://{tmp_path}/x/{n}").count() for n in order] == [50, 3, 1]
+    (tmp_path / "w").mkdir()
+    seen = []
+    for name in ("a.log", "b.log", "c.txt"):
+        (tmp_path / "w" / name).write_text(name)
+        stream = events.watch(spark, f"file://{tmp_path}/w", "*.log").writeStream.foreachBatch(lambda df, _: seen.extend(r.path.rsplit("/", 1)[1] for r in df.collect()))
+        stream.option("checkpointLocation", f"file://{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
+    assert sorted(seen) == ["a.log", "b.log"]
+
+
+def test_streams_rotate_by_bytes_and_drop_definitions(spark, tmp_path):
+    rows = spark.range(1000).select(F.col("id"), F.when(F.col("id") % 10 == 0, "ddl").otherwise("row").alias("type"), F.lit("d").alias("database"), F.lit("h").alias("host"))
+    assert events.wanted(rows, ddl=False).count() == 900 and events.wanted(rows).count() == 1000
+    rows.repartition(1).write.parquet(f"file://{tmp_path}/in")
+    events.write_rotated(events.stream(spark, f"file://{tmp_path}/in", rows.schema), f"file://{tmp_path}/out", f"file://{tmp_path}/cp", bytes_per_file=10_000).awaitTermination()
+    files = [p for p in (tmp_path / "out").rglob("part-*")]
+    assert len(files) >= 4 and spark.read.json(f"file://{tmp_path}/out").count() == 1000
