@@ -498,6 +498,33 @@ def test_embeddings(spark, block):
     assert got == Counter((k, n[i], low[label[i]], k == low[label[i]]) for i, (k, _) in enumerate(rows))
 
 
+@pytest.mark.parametrize("n", [1, 2, 40, 700])
+def test_cover_trees_nest_part_and_cover(n):
+    r = np.random.default_rng(n)
+    x = covertree.units(np.concatenate([r.normal(size=(n, 6)), r.normal(size=6) + 0.05 * r.normal(size=(n // 2, 6))]))
+    order, nodes, radii = covertree.cover_tree(x, 0.3)
+    assert sorted(order.tolist()) == list(range(len(x)))
+    x = x[order]
+    for (centre, low, high, first, many), radius in zip(nodes.tolist(), radii, strict=True):
+        assert low <= centre < high and radius == pytest.approx(covertree.distance(x[low:high], x[[centre]]).max(), abs=1e-7)
+        if many:
+            below = nodes[first : first + many]
+            assert below[0, 0] == centre and below[0, 1] == low and below[-1, 2] == high and (below[1:, 1] == below[:-1, 2]).all()
+            gaps = covertree.distance(x[below[:, 0]], x[below[:, 0]])[np.triu_indices(many, 1)]
+            scale = 2.0 ** math.floor(math.log2(gaps.min()))  # all closer centres are of the level that halves down to this
+            assert gaps.min() > scale and all(covertree.distance(x[a:b], x[below[:, 0]]).min(1).max() <= 2 * scale for _, a, b, _, _ in below.tolist())
+
+
+def test_bundles_hold_each_unit_once():
+    sizes = {k: 1 + 7 * k % 40 for k in range(30)} | {300: 100, 301: 51}
+    got = covertree.bundles(sizes, lambda u: np.array([float(u), 1.0]), 50)
+    assert set(got) == set(sizes) and got[300] == (300, 2) and got[301] == (301, 2)
+    filled = Counter()
+    for unit, (block, parts) in got.items():
+        filled[block] += sizes[unit] if parts == 1 else 0
+    assert max(filled.values()) <= 50 and len(filled) < 25
+
+
 def test_embeddings_of_nothing(spark):
     assert covertree.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
     assert [tuple(r) for r in covertree.near_duplicates(spark.createDataFrame([(1, None)], "vec_id long, embedding array<float>")).collect()] == [(1, 0, 1, True)]
