@@ -8,7 +8,8 @@ those of its words and its marginal is their product with the end's. Piece proba
 
 Words are told apart by 64-bit hashes. Texts are read once, into shards of some MB with a vocabulary of their own; each
 shard's words go to buckets, where they meet their counts over the whole corpus, and the answers return to their shards.
-No table of all words ever reaches one task or the driver.
+No table of all words ever reaches one task or the driver. Where there are many shards, a bucket's rows meet in salted
+groups of shards first, each group's words once with their sums, and answers return by the same groups.
 
 A null or empty text is the end alone. A null id counts as the empty text where the fold is taken. Repeated rows are
 scored, and counted, each on its own. An empty table gives an empty result; without training rows all counts are 0.
@@ -33,6 +34,8 @@ from .common import LOWER, keep, mixed, slices, strings, words
 
 #: Bytes of text in a shard, bytes of text for a bucket, rounds of fitting, and what is added to each expected count.
 SHARD_BYTES, BUCKET_BYTES, ROUNDS, ADDED = 12 << 20, 16 << 20, 4, 0.1
+#: Shards, about, of which a bucket takes rows in one group.
+SALTED = 4096
 #: Words longer than this are done one by one.
 LONG = 40
 _RANDOM = np.random.default_rng(77).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -268,13 +271,13 @@ def pieces_of(content: bytes, scores: bytes | None) -> Pieces:
     return vocabulary_of(content).scored(None if scores is None else np.frombuffer(scores))
 
 
-BUCKETS = "bucket long, distinct long, counts binary, sizes binary, letters binary, shards array<long>, places array<binary>, locals array<binary>"
+BUCKETS = "bucket long, salt long, hashes binary, distinct long, counts binary, sizes binary, letters binary, shards array<long>, places array<binary>, locals array<binary>"
 #: Words that are done at once, where rows hold fewer.
 TOGETHER = 100_000
 
 
 def _bucketed(table: pa.Table) -> pa.Table:
-    """A bucket's words, each once with its training count over the corpus, and for each shard that has some which they are."""
+    """A bucket's words, each once with its training count over these rows, and for each shard (or group of shards) that has some which they are."""
     shard, hashes, places, counts, sizes, letters = (table.column(c).to_pylist() for c in ("shard", "hashes", "places", "counts", "sizes", "letters"))
     known, one, local = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in hashes]), return_index=True, return_inverse=True)
     count = np.bincount(local, np.concatenate([np.frombuffer(x, np.int64) for x in counts])).astype(np.int64)
@@ -282,8 +285,8 @@ def _bucketed(table: pa.Table) -> pa.Table:
     words_of = gathered(np.frombuffer(b"".join(letters), np.uint8), (np.cumsum(size) - size)[one], size[one])
     cut = np.cumsum([0, *(len(x) // 8 for x in hashes)])
     locals_of = [local[cut[k] : cut[k + 1]].astype(np.int32).tobytes() for k in range(len(shard))]
-    row = (table.column("bucket")[0].as_py(), int((count > 0).sum()), count.tobytes(), size[one].astype(np.int32).tobytes(), words_of.tobytes(), shard, places, locals_of)
-    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.binary()))
+    row = (table.column("bucket")[0].as_py(), table.column("salt")[0].as_py(), known.tobytes(), int((count > 0).sum()), count.tobytes(), size[one].astype(np.int32).tobytes(), words_of.tobytes(), shard, places, locals_of)
+    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.binary()))
     return pa.table({x.split()[0]: pa.array([c], t) for x, c, t in zip(BUCKETS.split(", "), row, kinds, strict=True)})
 
 
@@ -319,7 +322,7 @@ def _expect(batches: Iterator[pa.RecordBatch], content: bytes, scores: bytes | N
 
 
 def _told(batches: Iterator[pa.RecordBatch], content: bytes, scores: bytes | None) -> Iterator[pa.RecordBatch]:
-    """For each shard what its words in a bucket count and weigh."""
+    """For each shard (or group of shards) what its words in a bucket count and weigh."""
     pieces = pieces_of(content, scores)
     for rows in _several(batches):
         counts, size, data = _words(rows)
@@ -330,7 +333,23 @@ def _told(batches: Iterator[pa.RecordBatch], content: bytes, scores: bytes | Non
             here, weigh = counts[first : first + n], logs[first : first + n]
             first += n
             back = [np.frombuffer(x, np.int32) for x in row["locals"]]
-            yield pa.RecordBatch.from_arrays([pa.array(row["shards"], pa.int64()), pa.array(row["places"], pa.binary()), pa.array([here[b].tobytes() for b in back], pa.binary()), pa.array([weigh[b].tobytes() for b in back], pa.binary())], ["shard", "places", "counts", "logs"])
+            yield _answers([row["bucket"]] * len(back), row["shards"], row["places"], [here[b].tobytes() for b in back], [weigh[b].tobytes() for b in back])
+
+
+ANSWERS = "bucket long, shard long, places binary, counts binary, logs binary"
+
+
+def _answers(*columns: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), *[pa.binary()] * 3), strict=True)], [x.split()[0] for x in ANSWERS.split(", ")])
+
+
+def _passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What a group of shards was told, for each of its shards."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            row = batch.slice(k, 1).to_pylist()[0]
+            back, count, logs = [np.frombuffer(x, np.int32) for x in row["locals"]], np.frombuffer(row["counts"], np.int64), np.frombuffer(row["logs"])
+            yield _answers([row["bucket"]] * len(back), row["shards"], row["places"], [count[b].tobytes() for b in back], [logs[b].tobytes() for b in back])
 
 
 def _score(docs: pa.Table, found: pa.Table, docs_trained: int, train_tokens: int, distinct: int, end_log: float) -> pa.Table:
@@ -360,11 +379,11 @@ def fold(id: Column, parts: int) -> Column:
     return F.crc32(F.coalesce(id.cast("string"), F.lit("")).cast("binary")) % parts
 
 
-def score(df: DataFrame, ranks: str, held_out: Column | None = None, id: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> DataFrame:
+def score(df: DataFrame, ranks: str, held_out: Column | None = None, id: str = "doc_id", text: str = "text", rounds: int = ROUNDS, salted: int = SALTED) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 of the text's probability).
 
     ranks: the path of a rank file (a piece in base64 and its rank a line), read by the driver and sent along.
-    held_out: which rows not to learn from, by default those whose fold of 7 is 2.
+    held_out: which rows not to learn from, by default those whose fold of 7 is 2. salted: shards, about, in a group.
     """
     with open(ranks, "rb") as f:
         content = f.read()
@@ -374,7 +393,13 @@ def score(df: DataFrame, ranks: str, held_out: Column | None = None, id: str = "
     shards = keep(source.mapInArrow(partial(_shards, buckets=max(32, size // BUCKET_BYTES)), SHARDS), "lm-shards")
     docs = shards.where("tokens is not null").select("shard", "doc_id", "held_out", "n_words", "tokens")
     vocabulary = shards.where("hashes is not null").select("bucket", "shard", "hashes", "places", "counts", "sizes", "letters")
-    buckets = keep(vocabulary.groupBy("bucket").applyInArrow(_bucketed, BUCKETS), "lm-buckets")
+    salts = docs.select("shard").distinct().count() // salted + 1
+    grouped = vocabulary.withColumn("salt", F.pmod(F.xxhash64("shard"), F.lit(salts))).groupBy("bucket", "salt").applyInArrow(_bucketed, BUCKETS)
+    if salts > 1:
+        groups = keep(grouped, "lm-groups")
+        once = groups.select("bucket", F.col("salt").alias("shard"), "hashes", F.lit(b"").alias("places"), "counts", "sizes", "letters", F.lit(0).cast("long").alias("salt"))
+        grouped = once.groupBy("bucket").applyInArrow(_bucketed, BUCKETS)
+    buckets = keep(grouped.drop("salt", "hashes"), "lm-buckets")
     trained, tokens = docs.where("not held_out").agg(F.count("*"), F.coalesce(F.sum(F.col("n_words") + 1), F.lit(0))).first()
     scores, end_log = None, 0.0
     for _ in range(rounds):
@@ -385,6 +410,9 @@ def score(df: DataFrame, ranks: str, held_out: Column | None = None, id: str = "
             expected[piece] += n
         total = expected.sum() + trained + ADDED
         scores, end_log = np.log(expected / total).tobytes(), math.log((trained + ADDED) / total)
-    found = buckets.drop("bucket", "distinct").mapInArrow(partial(_told, content=content, scores=scores), "shard long, places binary, counts binary, logs binary")
+    found = buckets.drop("distinct").mapInArrow(partial(_told, content=content, scores=scores), ANSWERS)
+    if salts > 1:
+        found = found.select("bucket", F.col("shard").alias("salt"), "counts", "logs").join(groups.select("bucket", "salt", "shards", "places", "locals"), ["bucket", "salt"]).mapInArrow(_passed, ANSWERS)
+    found = found.select("shard", "places", "counts", "logs")
     distinct = (buckets.agg(F.sum("distinct")).first()[0] or 0) + (trained > 0)
     return docs.groupBy("shard").cogroup(found.groupBy("shard")).applyInArrow(lambda a, b: _score(a, b, trained, tokens, distinct, end_log), SCORES)

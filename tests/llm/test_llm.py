@@ -603,6 +603,16 @@ def test_lm_scores_after_rounds_of_fitting(spark, ranks):
         assert got[i].held_out == held[i] and math.isclose(got[i].score, x, rel_tol=1e-9), (texts[i], got[i].score, x)
 
 
+def test_lm_scores_in_salted_groups(spark, docs, ranks):
+    """Groups of shards change no result."""
+    many = docs.repartition(6)
+    plain, salted = (sorted(map(tuple, lattice.score(many, ranks, rounds=1, salted=n).collect()), key=str) for n in (4096, 2))
+    assert len(plain) == len(salted) == docs.count()
+    key = lambda r: (str(r[0]), r[2], r[5], r[6])
+    for a, b in zip(sorted(plain, key=key), sorted(salted, key=key), strict=True):
+        assert a[:5] == b[:5] and a[5] == pytest.approx(b[5]) and a[6] == pytest.approx(b[6])
+
+
 def test_varints():
     v = np.array([0, 1, 127, 128, 16383, 16384, 2**21 - 1] * 3)
     assert (lattice.unpacked(lattice.packed(v)) == v).all() and len(lattice.unpacked(b"")) == 0
