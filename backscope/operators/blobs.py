@@ -5,6 +5,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 import math
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -12,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .chains import written
+
 KIB, MIB = 1 << 10, 1 << 20
 
 #: Signatures in order, as hexadecimal digits from the start (or from byte 4, or with a form at byte 8), type, and name.
@@ -232,14 +235,75 @@ def _fnv(value: bytes) -> int:
     return h
 
 
-def might_contain(column: Column, known: Bloom) -> Column:
-    """Whether each value may be in the filter: no known value fails."""
+def _digest_places(digests: np.ndarray, m: int, k: int) -> np.ndarray:
+    """Bloom.places of many digests (a row of bytes each) at once: a row of k places for each."""
+    h = np.full(len(digests), 0xCBF29CE484222325, np.uint64)
+    prime = np.uint64(0x100000001B3)
+    for byte in digests.T:
+        h = (h ^ byte) * prime
+    step = ((h ^ np.uint64(1)) * prime | np.uint64(1)) % np.uint64(m)
+    return ((h % np.uint64(m))[:, None] + np.arange(k, dtype=np.uint64) * step[:, None]) % np.uint64(m)
+
+
+def _matrix(values: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(values), np.uint8).reshape(len(values), -1)
+
+
+def bloom_of(digests: DataFrame, rate: float = 0.01, most_bits: int = 1 << 26) -> Bloom | None:
+    """The filter over a column of digests (binary, of one length, nulls left out), made in parts: words of bits, at most most_bits / 64 of them, reach the driver. None where it would take more bits."""
+    digests = digests.toDF("digest").where("digest is not null")
+    out = Bloom(max(1, digests.count()), rate)
+    if out.m > most_bits:
+        return None
+    m, k = out.m, out.k
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = np.zeros(-(-m // 64) * 64, np.uint8)
+        for batch in batches:
+            if len(batch):
+                bits[_digest_places(_matrix(batch["digest"]), m, k).ravel()] = 1
+        words = np.packbits(bits, bitorder="little").view("<i8")
+        hit = np.flatnonzero(words)
+        yield pd.DataFrame({"word": hit, "bits": words[hit]})
+
+    whole = np.zeros(-(-m // 64), "<i8")
+    for word, bits in digests.mapInPandas(part, "word long, bits long").groupBy("word").agg(F.bit_or("bits")).collect():
+        whole[word] = bits
+    out.bits = bytearray(whole.tobytes()[: m // 8])
+    return out
+
+
+def may_be_known(digest: Column, known: Bloom) -> Column:
+    """Whether each digest may be in the filter: no known one fails, a null one does."""
+    m, k, packed = known.m, known.k, bytes(known.bits)
 
     @F.pandas_udf("boolean")
     def test(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: v is not None and hashlib.sha256(v).digest() in known)
+        out = np.zeros(len(values), bool)
+        there = values.notna().to_numpy()
+        if there.any():
+            at = _digest_places(_matrix(values[there]), m, k)
+            out[there] = (np.frombuffer(packed, np.uint8)[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).all(1)
+        return pd.Series(out)
 
-    return test(column)
+    return test(digest)
+
+
+def might_contain(column: Column, known: Bloom) -> Column:
+    """Whether each value's SHA-256 may be in the filter."""
+    return may_be_known(F.unhex(F.sha2(column, 256)), known)
+
+
+def repeated(blobs: DataFrame, rate: float = 0.01) -> DataFrame:
+    """blob_id, repeated: whether another value has the same content (null content never). Only values that the filter of repeated digests lets through meet the exact set; without a filter all do."""
+    digest = F.unhex(F.sha2("data", 256))
+    known = written(blobs.where("data is not null").groupBy(digest.alias("digest")).agg(F.count("*").alias("n")).where("n > 1").select("digest"), "repeated")
+    bloom = bloom_of(known, rate)
+    rows = blobs.select("blob_id", digest.alias("digest"))
+    maybe = F.lit(True) if bloom is None else may_be_known(F.col("digest"), bloom)
+    rows = written(rows.withColumn("maybe", maybe), "maybe")
+    sure = rows.where("maybe").join(known.withColumn("found", F.lit(True)), "digest", "left").select("blob_id", F.coalesce("found", F.lit(False)).alias("repeated"))
+    return rows.where("not maybe").select("blob_id", F.lit(False).alias("repeated")).unionByName(sure)
 
 
 def gzip_size(data: Column, level: int = 6) -> Column:

@@ -43,4 +43,4 @@ def query(name: str, *needed: str, sql: str | None = None):
     return register
 
 
-from . import capacity, catalog, logs, pieces, proofs, text  # noqa: E402, F401  they register themselves
+from . import capacity, catalog, flows, logs, pieces, proofs, text  # noqa: E402, F401  they register themselves

@@ -185,6 +185,42 @@ def token_bucket(requests: DataFrame, rate: float, burst: float) -> DataFrame:
     return done.select("key", F.round("s.waited", 3).alias("waited_s"), F.col("s.n").alias("delayed"))
 
 
+def limited(attempts: DataFrame, most: int = 5, base: float = 1.0, cap: float = 60.0, reset: float = 300.0) -> DataFrame:
+    """attempts: key, ts, seq, ok. How often each key's connections are refused or delayed, and for how long.
+
+    The first attempt goes through, as does one later than `reset` after the last; it counts 1. From `most` counts on
+    attempts are refused; others wait until the backoff since the last one is over and count one more. After that a
+    success sets the count to 0, a failure adds one. A pause longer than all waits before can be starts anew, so each run
+    between such pauses is folded on its own: one run of one key is held at once.
+    """
+    micros = {name: int(x * 1_000_000) for name, x in (("base", base), ("cap", cap), ("reset", reset))}
+    rows = attempts.select("key", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "seq", "ok")
+    order = Window.partitionBy("key").orderBy("at", "seq")
+    # no attempt ends later than if each one before had waited longest; what starts later than that and the reset starts anew
+    longest = min(micros["cap"], micros["base"] << max(0, most - 2))
+    numbered = rows.withColumn("n", F.row_number().over(order).cast("long"))
+    before = F.max(F.col("at") - F.col("n") * longest).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.coalesce((F.col("at") - before - F.col("n") * longest > micros["reset"]).cast("int"), F.lit(0))
+    runs = numbered.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    held = runs.groupBy("key", "run").agg(F.sort_array(F.collect_list(F.struct("at", "seq", "ok"))).alias("r"))
+    none = F.lit(0).cast("long")
+    start = F.struct(none.alias("last"), none.alias("count"), F.lit(False).alias("known"), none.alias("attempts"), none.alias("refused"), none.alias("delayed"), none.alias("waited"))
+
+    def step(s: Column, r: Column) -> Column:
+        anew = ~s["known"] | (r["at"] - s["last"] > micros["reset"])
+        refused = ~anew & (s["count"] >= most)
+        pause = F.when(s["count"] == 0, none).otherwise(F.least(F.lit(micros["base"]) * F.pow(F.lit(2.0), s["count"] - 1), F.lit(micros["cap"])).cast("long"))
+        wait = F.when(anew | refused, none).otherwise(F.greatest(s["last"] + pause - r["at"], none))
+        counted = F.when(anew, none).otherwise(s["count"]) + 1
+        return F.struct(
+            F.when(refused, s["last"]).otherwise(r["at"] + wait).alias("last"), F.when(refused, s["count"]).when(r["ok"], none).otherwise(counted + 1).alias("count"), F.lit(True).alias("known"),
+            (s["attempts"] + 1).alias("attempts"), (s["refused"] + refused.cast("long")).alias("refused"), (s["delayed"] + (wait > 0).cast("long")).alias("delayed"), (s["waited"] + wait).alias("waited"),
+        )
+
+    done = held.select("key", F.aggregate("r", start, step).alias("s")).groupBy("key")
+    return done.agg(*[F.sum(f"s.{c}").alias(c) for c in ("attempts", "refused", "delayed")], F.round(F.sum("s.waited") / 1e6, 3).alias("waited_s"))
+
+
 def adapted_rate(rate: float, outcomes: Sequence[bool], least: float, most: float) -> float:
     """A fifth more after five successes in a row, three tenths less after a failure, within bounds."""
     good = 0
@@ -197,14 +233,18 @@ def adapted_rate(rate: float, outcomes: Sequence[bool], least: float, most: floa
     return rate
 
 
+#: Times in JSON with their microseconds, which Spark's own formats cut off.
+MICROS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
 def write_rotated(events: DataFrame, folder: str, checkpoint: str, rows_per_file: int = 100_000, compression: str = "gzip", bytes_per_file: int | None = None) -> Any:
-    """Write a stream as JSON lines, compressed, in files of a bounded number of rows, or of about that many bytes before compression; a batch that is written again replaces itself."""
+    """Write a stream as JSON lines, compressed, in files of a bounded number of rows, or of about that many bytes before compression; a batch that is written again replaces itself. Times keep their microseconds."""
 
     def put(batch: DataFrame, number: int) -> None:
         most = rows_per_file
         if bytes_per_file:
             mean = batch.agg(F.avg(F.octet_length(F.to_json(F.struct("*"))) + 1)).first()[0] or 1.0
             most = max(1, min(rows_per_file, int(bytes_per_file / mean)))
-        batch.write.mode("overwrite").option("maxRecordsPerFile", most).option("compression", compression).json(f"{folder}/batch={number}")
+        batch.write.mode("overwrite").option("maxRecordsPerFile", most).option("compression", compression).options(**MICROS).json(f"{folder}/batch={number}")
 
     return events.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

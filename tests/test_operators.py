@@ -1,9 +1,11 @@
 """Small cases, conservation and properties."""
 
 import datetime as dt
+import hashlib
 import json
 import os
 import random
+from collections import Counter
 
 import pytest
 from hypothesis import given, settings
@@ -368,3 +370,52 @@ def test_streams_rotate_by_bytes_and_drop_definitions(spark, tmp_path):
     events.write_rotated(events.stream(spark, f"file://{tmp_path}/in", rows.schema), f"file://{tmp_path}/out", f"file://{tmp_path}/cp", bytes_per_file=10_000).awaitTermination()
     files = [p for p in (tmp_path / "out").rglob("part-*")]
     assert len(files) >= 4 and spark.read.json(f"file://{tmp_path}/out").count() == 1000
+
+
+def test_filters_of_columns(spark):
+    """Made in parts, equal to one made value by value; nothing known fails."""
+    digests = [hashlib.sha256(b"%d" % i).digest() for i in range(300)]
+    df = spark.createDataFrame([(d,) for d in [*digests, None]], "digest binary").repartition(5)
+    known = blobs.Bloom(300, 0.02)
+    for d in digests:
+        known.add(d)
+    made = blobs.bloom_of(df, 0.02)
+    assert (made.m, made.k, made.bits) == (known.m, known.k, known.bits)
+    assert blobs.bloom_of(df, 0.02, most_bits=64) is None
+    others = [hashlib.sha256(b"x%d" % i).digest() for i in range(300)]
+    got = spark.createDataFrame([(d,) for d in [*digests, *others, None]], "digest binary").select("digest", blobs.may_be_known(F.col("digest"), made).alias("maybe")).collect()
+    assert all(r.maybe == (r.digest is not None and bytes(r.digest) in known) for r in got) and sum(r.maybe for r in got) < 330
+
+
+def test_repeated_contents(spark):
+    rows = [(1, b"a"), (2, b"b"), (3, b"a"), (4, None), (5, None), (6, b""), (7, b"")]
+    got = blobs.repeated(spark.createDataFrame(rows, "blob_id long, data binary")).collect()
+    assert sorted(map(tuple, got)) == [(1, True), (2, False), (3, True), (4, False), (5, False), (6, True), (7, True)]
+    assert blobs.repeated(spark.createDataFrame([], "blob_id long, data binary")).collect() == []
+
+
+def test_limits_of_hosts(spark):
+    """Against one attempt after the other."""
+    r = random.Random(4)
+    rows = [(k, r.choice((0, 1, 2, 3, 30, 400, 2000)), r.random() < 0.4) for k in "abc" for _ in range(60)]
+    at, listed, want = Counter(), [], {}
+    for i, (k, gap, ok) in enumerate(rows):
+        at[k] += gap
+        listed.append((k, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=at[k]), i, ok))
+    for k in "abc":
+        last, count, refused, delayed, waited = None, 0, 0, 0, 0.0
+        for when in [(x[1] - dt.datetime(2024, 1, 1)).total_seconds() for x in listed if x[0] == k]:
+            ok = next(x[3] for x in listed if x[0] == k and x[2] not in want.setdefault(k, set()) and not want[k].add(x[2]))
+            if last is None or when - last > 300:
+                count, end = 1, when
+            elif count >= 4:
+                refused += 1
+                continue
+            else:
+                end = max(when, last + (min(2 ** (count - 1), 60) if count else 0))
+                count += 1
+            delayed, waited, last, count = delayed + (end > when), waited + end - when, end, 0 if ok else count + 1
+        want[k] = (60, refused, delayed, waited)
+    got = {x.key: (x.attempts, x.refused, x.delayed, x.waited_s) for x in events.limited(spark.createDataFrame(listed, "key string, ts timestamp, seq long, ok boolean"), most=4).collect()}
+    assert got == want and any(x[1] for x in want.values()) and any(x[2] for x in want.values())
+    assert events.limited(spark.createDataFrame([], "key string, ts timestamp, seq long, ok boolean")).collect() == []
