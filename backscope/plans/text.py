@@ -179,7 +179,13 @@ def count_batches(t: DataFrame) -> DataFrame:
     return t.select("line_no", F.floor(n / 100).alias("batch"))
 
 
-@query("w11_greedy_batches", "dump_lines")
+@query("w11_greedy_batches", "dump_lines", sql="""RECURSIVE l AS (SELECT line_no % 6 AS stream, line_no, strlen(line) AS size, row_number() OVER (PARTITION BY line_no % 6 ORDER BY line_no) AS k FROM dump_lines),
+f AS (
+  SELECT stream, line_no, k, 0::BIGINT AS batch, 1 AS n, size AS held FROM l WHERE k = 1
+  UNION ALL
+  SELECT l.stream, l.line_no, l.k, CASE WHEN f.n >= 50 OR f.held + l.size > 2000 THEN batch + 1 ELSE batch END, CASE WHEN f.n >= 50 OR f.held + l.size > 2000 THEN 1 ELSE f.n + 1 END, CASE WHEN f.n >= 50 OR f.held + l.size > 2000 THEN l.size ELSE f.held + l.size END
+  FROM f JOIN l ON l.stream = f.stream AND l.k = f.k + 1)
+SELECT stream, line_no, batch FROM f""")
 def greedy(t: DataFrame) -> DataFrame:
     return d.greedy_batches(t.select((F.col("line_no") % 6).alias("stream"), "line_no", F.octet_length("line").alias("bytes")), ["stream"], "line_no", 50, 2000)
 
@@ -224,7 +230,13 @@ def tags(b: DataFrame) -> DataFrame:
     return b.select("id", F.to_json(m).alias("tags")).select("id", F.from_json("tags", "map<string,string>")["env"].alias("env"), "tags")
 
 
-@query("w9_ema", "samples")
+@query("w9_ema", "samples", sql="""RECURSIVE r AS (SELECT key, epoch_us(ts) / 1e6 AS t, row_number() OVER o AS k, (sum(delta) OVER o)::DOUBLE AS total FROM samples WINDOW o AS (PARTITION BY key ORDER BY ts, seq ROWS UNBOUNDED PRECEDING)),
+f AS (
+  SELECT key, k, t, total, 0::DOUBLE AS ema, 0 AS n FROM r WHERE k = 1
+  UNION ALL
+  SELECT key, k, CASE WHEN early THEN t0 ELSE t END, CASE WHEN early THEN total0 ELSE total END, CASE WHEN early THEN ema WHEN ema = 0 THEN speed ELSE 0.2::DOUBLE * speed + 0.8::DOUBLE * ema END, CASE WHEN early THEN n ELSE n + 1 END
+  FROM (SELECT r.key, r.k, r.t, r.total, f.t AS t0, f.total AS total0, f.ema, f.n, r.t - f.t < 0.5 AS early, greatest(r.total - f.total, 0) / (r.t - f.t) AS speed FROM f JOIN r ON r.key = f.key AND r.k = f.k + 1))
+SELECT key, round(ema, 6) AS bytes_per_s, n AS samples, n >= 5 AS warm FROM f QUALIFY row_number() OVER (PARTITION BY key ORDER BY k DESC) = 1""")
 def ema(s: DataFrame) -> DataFrame:
     from ..streaming.events import ema_speed
 
@@ -238,7 +250,13 @@ def digest(o: DataFrame) -> DataFrame:
     return f(o)
 
 
-@query("m3_event_batches", "oplog")
+@query("m3_event_batches", "oplog", sql="""RECURSIVE e AS (SELECT host, ts, CASE severity WHEN 'critical' THEN 4 WHEN 'error' THEN 3 WHEN 'warning' THEN 2 ELSE 0 END AS worst, row_number() OVER (PARTITION BY host ORDER BY ts, id) AS k FROM oplog),
+f AS (
+  SELECT host, k, ts, worst, ts AS first_ts, 1 AS n, 1 AS batch FROM e WHERE k = 1
+  UNION ALL
+  SELECT host, k, ts, worst, CASE WHEN opens THEN ts ELSE first_ts END, CASE WHEN opens THEN 1 ELSE n + 1 END, CASE WHEN opens THEN batch + 1 ELSE batch END
+  FROM (SELECT e.*, f.first_ts, f.n, f.batch, epoch_us(e.ts) - epoch_us(f.first_ts) >= 300000000 OR f.n >= 50 AS opens FROM f JOIN e ON e.host = f.host AND e.k = f.k + 1))
+SELECT host, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n, max(worst) AS worst FROM f GROUP BY host, batch""")
 def batches(o: DataFrame) -> DataFrame:
     from ..streaming.events import batches as f
 
@@ -252,7 +270,12 @@ def escalations(o: DataFrame) -> DataFrame:
     return escalate(o).groupBy("state").agg(F.count("*").alias("n"))
 
 
-@query("m6_token_bucket", "samples")
+@query("m6_token_bucket", "samples", sql="""RECURSIVE r AS (SELECT key, epoch_us(ts) / 1e6 AS t, delta::DOUBLE AS want, row_number() OVER (PARTITION BY key ORDER BY ts, seq) AS k FROM samples),
+f AS (
+  SELECT key, k, t, 5e6 - want AS rest, greatest(want - 5e6, 0) / 1e6 AS wait FROM r WHERE k = 1
+  UNION ALL
+  SELECT key, k, t, rest, greatest(-rest, 0) / 1e6 FROM (SELECT r.key, r.k, r.t, least(f.rest + (r.t - f.t) * 1e6, 5e6) - r.want AS rest FROM f JOIN r ON r.key = f.key AND r.k = f.k + 1))
+SELECT key, round(sum(wait), 3) AS waited_s, count(*) FILTER (WHERE wait > 0) AS delayed FROM f GROUP BY key""")
 def bucket(s: DataFrame) -> DataFrame:
     from ..streaming.events import token_bucket
 

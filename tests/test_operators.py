@@ -419,3 +419,19 @@ def test_limits_of_hosts(spark):
     got = {x.key: (x.attempts, x.refused, x.delayed, x.waited_s) for x in events.limited(spark.createDataFrame(listed, "key string, ts timestamp, seq long, ok boolean"), most=4).collect()}
     assert got == want and any(x[1] for x in want.values()) and any(x[2] for x in want.values())
     assert events.limited(spark.createDataFrame([], "key string, ts timestamp, seq long, ok boolean")).collect() == []
+
+
+def test_waits_at_a_rate(spark):
+    """Against one request after the other, at a rate that makes many wait."""
+    r, rows, want = random.Random(8), [], {}
+    for key in range(4):
+        at, left, last, waited, delayed = 0.0, 50.0, None, 0.0, 0
+        for i in range(80):
+            at, size = at + r.choice((0, 1, 5, 60)), r.randint(0, 90)
+            rows.append((key, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=at), i, size))
+            left = min(left + (at - (at if last is None else last)) * 2.0, 50.0) - size
+            last = at
+            waited, delayed = waited + max(-left, 0.0) / 2.0, delayed + (left < 0)
+        want[key] = (round(waited, 3), delayed)
+    got = {x.key: (x.waited_s, x.delayed) for x in events.token_bucket(spark.createDataFrame(rows, "key long, ts timestamp, seq long, delta long"), 2.0, 50.0).collect()}
+    assert got == want and all(x[1] for x in want.values())
