@@ -1,6 +1,7 @@
 """Small cases, conservation and properties."""
 
 import datetime as dt
+import gzip
 import hashlib
 import json
 import os
@@ -435,3 +436,18 @@ def test_waits_at_a_rate(spark):
         want[key] = (round(waited, 3), delayed)
     got = {x.key: (x.waited_s, x.delayed) for x in events.token_bucket(spark.createDataFrame(rows, "key long, ts timestamp, seq long, delta long"), 2.0, 50.0).collect()}
     assert got == want and all(x[1] for x in want.values())
+
+
+def test_column_analysis(spark):
+    r = random.Random(2)
+    packed = gzip.compress(bytes(r.randrange(256) for _ in range(3000)), mtime=0)
+    held = {"text": [b"the same words again " * 50, b"", None], "packed": [packed, packed], "mixed": [packed, b"abc " * 500]}
+    got = {x.grp: x for x in blobs.column_analysis(spark.createDataFrame([(k, d) for k, v in held.items() for d in v], "grp string, data binary"), ["grp"]).collect()}
+    assert set(got) == set(held)
+    for k, values in held.items():
+        total, small = sum(len(d or b"") for d in values), sum(len(gzip.compress(d or b"", 6, mtime=0)) for d in values)
+        hard = sum(len(d) for d in values if d == packed)
+        share, ratio = 100 * hard / total, total / small
+        assert (got[k].total_size, got[k].packed_size, got[k].incompressible) == (total, small, hard) and got[k].ratio == pytest.approx(ratio)
+        assert got[k].advice == ("skip" if share > 80 or ratio < 1.1 else "low_level" if share > 50 else "partial" if share > 20 else "compress")
+    assert {x.advice for x in got.values()} >= {"skip", "compress"}
