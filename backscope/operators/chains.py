@@ -90,3 +90,23 @@ def running(rows: DataFrame, by: Sequence[str], span: Column, order: Sequence[st
     sums = sums.select(*by, "__span", F.coalesce(F.sum("__sum").over(w), F.lit(0)).alias("__base"))
     joined = _spanned(inside, sums, by)
     return joined.withColumn(out, F.col("__inside") + F.col("__base")).drop("__span", "__value", "__inside", "__base")
+
+
+def known(rows: DataFrame, by: Sequence[str], span: Column, order: Sequence[str], value: Column, out: str) -> DataFrame:
+    """rows with the last value before them that isn't null. The spans must go up with the order."""
+    rows = rows.withColumn("__span", span).withColumn("__value", value)
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    inside = rows.withColumn("__inside", F.last("__value", ignorenulls=True).over(before(Window.partitionBy(*by, "__span").orderBy(*order))))
+    last = rows.groupBy(*by, "__span").agg(F.max_by("__value", F.when(F.col("__value").isNotNull(), F.struct(*order))).alias("__last"))
+    last = last.select(*by, "__span", F.last("__last", ignorenulls=True).over(before(Window.partitionBy(*by).orderBy("__span"))).alias("__before"))
+    return _spanned(inside, last, by).withColumn(out, F.coalesce("__inside", "__before")).drop("__span", "__value", "__inside", "__before")
+
+
+def newest(rows: DataFrame, by: Sequence[str], span: Column, order: Sequence[str], out: str) -> DataFrame:
+    """rows with their rank from the last one on, nulls last. The spans must go up with the order."""
+    rows = rows.withColumn("__span", span)
+    inside = rows.withColumn("__inside", F.row_number().over(Window.partitionBy(*by, "__span").orderBy(*[F.col(c).desc() for c in order])))
+    after = Window.partitionBy(*by).orderBy(F.col("__span").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(*by, "__span").agg(F.count("*").alias("__rows"))
+    counts = counts.select(*by, "__span", F.coalesce(F.sum("__rows").over(after), F.lit(0)).alias("__base"))
+    return _spanned(inside, counts, by).withColumn(out, F.col("__inside") + F.col("__base")).drop("__span", "__inside", "__base")

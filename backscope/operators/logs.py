@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as x
-from .chains import ancestors
+from .chains import ancestors, known, previous
 
 
 def number_of(name: Column) -> Column:
@@ -21,11 +21,20 @@ def position_of(text: Column) -> Column:
     return F.struct(number_of(F.split_part(text, F.lit(":"), F.lit(1))).alias("file"), F.split_part(text, F.lit(":"), F.lit(2)).try_cast("decimal(20,0)").alias("pos"))
 
 
+#: Log numbers, or lines of a log, in a span.
+SPAN = 1024
+
+
+def _steps(files: DataFrame) -> DataFrame:
+    """files with the series of their name and `before`, the number before theirs in it; a series meets span by span."""
+    series = files.withColumn("series", F.regexp_extract("name", r"^(.*)\.[0-9]+$", 1))
+    return previous(series, ["series"], F.floor(F.col("number") / SPAN), ["number", "name"], {"number": "before"})
+
+
 def chain(files: DataFrame) -> DataFrame:
-    """Each file with what is wrong before it: numbers that are missing, and another server than the last known one. One series: a single window."""
-    w = Window.partitionBy(F.regexp_extract("name", r"^(.*)\.[0-9]+$", 1)).orderBy("number")
-    known = F.last(F.nullif(F.col("server_id"), F.lit(0)), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    out = files.withColumn("before", F.lag("number").over(w)).withColumn("server_before", known)
+    """Each file with what is wrong before it: numbers that are missing, and another server than the last known one. Equal numbers go by name."""
+    server = F.nullif(F.col("server_id"), F.lit(0))
+    out = known(_steps(files), ["series"], F.floor(F.col("number") / SPAN), ["number", "name"], server, "server_before")
     return out.select("name", "number", F.when(F.col("number") != F.col("before") + 1, F.col("number") - F.col("before") - 1).otherwise(0).alias("missing"), ((F.col("server_id") != 0) & (F.col("server_before") != F.col("server_id"))).alias("server_changed"))
 
 
@@ -33,8 +42,8 @@ def chain_summary(files: DataFrame) -> DataFrame:
     return chain(files).agg(F.count("*").alias("files"), F.count_if(F.col("missing") > 0).alias("gaps"), F.sum("missing").alias("missing"), F.count_if("server_changed").alias("warnings"), (F.count_if(F.col("missing") > 0) == 0).alias("valid"))
 
 
-#: Ranges that overlapping() takes at a time, and log numbers in a span.
-RANGES, SPAN = 10_000, 1024
+#: Ranges that overlapping() takes at a time.
+RANGES = 10_000
 
 
 def overlapping(files: DataFrame, ranges: DataFrame, as_of: str) -> DataFrame:
@@ -94,8 +103,7 @@ def archive_stats(files: DataFrame, full: int = 16 << 20) -> DataFrame:
 
 def archive_metrics(files: DataFrame, as_of: str) -> DataFrame:
     """Count, size, oldest and newest, lag, window in minutes, gaps."""
-    step = F.col("number") - F.lag("number").over(Window.partitionBy(F.regexp_extract("name", r"^(.*)\.[0-9]+$", 1)).orderBy("number"))
-    g = files.withColumn("step", step).agg(F.count("*").alias("files"), F.sum("size").alias("size"), F.min("start_time").alias("oldest"), F.max("end_time").alias("newest"), F.count_if(F.col("step") > 1).alias("gaps"))
+    g = _steps(files).withColumn("step", F.col("number") - F.col("before")).agg(F.count("*").alias("files"), F.sum("size").alias("size"), F.min("start_time").alias("oldest"), F.max("end_time").alias("newest"), F.count_if(F.col("step") > 1).alias("gaps"))
     return g.withColumn("lag_seconds", x.seconds(F.col("newest"), F.lit(as_of).cast("timestamp_ntz"))).withColumn("window_minutes", F.floor(x.seconds(F.col("oldest"), F.col("newest")) / 60).cast("long"))
 
 
@@ -109,8 +117,8 @@ def filter_lines(lines: DataFrame, include: Sequence[str] = (), exclude: Sequenc
     """Log text (stream, line_no, line) with whether each line is kept. Comments and USE stay; a table without database takes that of the last USE before it. The lists only judge statements that change rows; definitions go with skip_ddl alone."""
     text = F.trim("line")
     used = F.nullif(F.regexp_extract(text, USE, 1), F.lit(""))
-    current = F.last(used, ignorenulls=True).over(Window.partitionBy("stream").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
-    told = lines.select("stream", "line_no", text.alias("text"), used.alias("used"), F.coalesce(current, F.lit("")).alias("db"), F.regexp_extract(text, TABLE_REFERENCE, 1).alias("own"), F.regexp_extract(text, TABLE_REFERENCE, 2).alias("table"))
+    told = lines.select("stream", "line_no", text.alias("text"), used.alias("used"), F.regexp_extract(text, TABLE_REFERENCE, 1).alias("own"), F.regexp_extract(text, TABLE_REFERENCE, 2).alias("table"))
+    told = known(told, ["stream"], F.floor(F.col("line_no") / SPAN), ["line_no"], F.col("used"), "before").withColumn("db", F.coalesce("used", "before", F.lit("")))
     name = F.lower(F.concat(F.when(F.col("own") != "", F.col("own")).otherwise(F.col("db")), F.lit("."), F.col("table")))
     plain = (F.col("text") == "") | F.col("text").startswith("#") | F.col("text").startswith("--") | F.col("used").isNotNull()
     keep = F.when(plain, True)

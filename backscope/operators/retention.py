@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as x
+from .chains import newest
 
 
 @dataclass(frozen=True)
@@ -73,29 +74,35 @@ def gfs_files(files: DataFrame, keep: Tiers, weekly_day: int = 0, monthly_day: i
     return _named(f, kept).select("id", "backup_path", "tier")
 
 
+def _ranked(files: DataFrame, by: Sequence[str]) -> DataFrame:
+    """files with their rank in their group, the newest first; a group is ranked day by day, so that a large one meets in no single task."""
+    return newest(files, by, F.date_trunc("day", "created_at"), ["created_at", "id"], "rank")
+
+
 def age_policy(files: DataFrame, days: int, minimum: int, as_of: str, by: Sequence[str] = ("database",)) -> DataFrame:
     """Keep the newest `minimum` of each group and all not older than `days`."""
-    w = Window.partitionBy(*by).orderBy(F.col("created_at").desc(), F.col("id").desc())
     old = x.seconds(F.col("created_at"), F.lit(as_of).cast("timestamp_ntz")) > days * 86400
     reason = F.when(F.col("rank") <= minimum, "minimum").when(old, f"older than {days} days").otherwise(f"within {days} days")
-    return files.withColumn("rank", F.row_number().over(w)).withColumn("reason", reason).withColumn("decision", F.when(F.col("reason").startswith("older"), "delete").otherwise("keep"))
+    return _ranked(files, by).withColumn("reason", reason).withColumn("decision", F.when(F.col("reason").startswith("older"), "delete").otherwise("keep"))
 
 
 def simulate(files: DataFrame, days: Sequence[int], minimum: int, as_of: str) -> DataFrame:
     """What the age policy would keep and free for each number of days. The list is short."""
-    ranked = files.withColumn("rank", F.row_number().over(Window.partitionBy("database").orderBy(F.col("created_at").desc(), F.col("id").desc())))
+    ranked = _ranked(files.select("id", "database", "size_bytes", "created_at"), ("database",))
     each = ranked.select("size_bytes", "rank", x.seconds(F.col("created_at"), F.lit(as_of).cast("timestamp_ntz")).alias("age"), F.explode(F.array(*map(F.lit, days))).alias("days"))
     gone = (F.col("rank") > minimum) & (F.col("age") > F.col("days") * 86400)
     return each.groupBy("days").agg(F.count_if(~gone).alias("kept"), F.count_if(gone).alias("deleted"), F.coalesce(F.sum(F.when(gone, F.col("size_bytes"))), F.lit(0)).alias("freed"))
 
 
 def manifest_rules(manifests: DataFrame, last: int, days: int, weeks: int) -> DataFrame:
-    """Of each database: the last ones, the newest of the newest days, the newest of the newest ISO weeks."""
-    recent = (F.col("created_at").desc(), F.col("id").desc())
-    m = manifests.select("id", "database", "created_at", F.to_date("created_at").alias("day"), x.iso_week(F.col("created_at")).alias("week"))
-    of = Window.partitionBy("database")
-    m = m.select("id", F.row_number().over(of.orderBy(*recent)).alias("n"), F.row_number().over(Window.partitionBy("database", "day").orderBy(*recent)).alias("nd"), F.row_number().over(Window.partitionBy("database", "week").orderBy(*recent)).alias("nw"), F.dense_rank().over(of.orderBy(F.col("day").desc())).alias("rd"), F.dense_rank().over(of.orderBy(F.col("week").desc())).alias("rw"))
-    return m.select("id", ((F.col("n") <= last) | ((F.col("nd") == 1) & (F.col("rd") <= days)) | ((F.col("nw") == 1) & (F.col("rw") <= weeks))).alias("keep"))
+    """Of each database: the last ones, the newest of the newest days, the newest of the newest ISO weeks. Ids are unique."""
+    by = ["database"]
+    m = manifests.select("id", "database", "created_at")
+    kept = [("last", _first(m, last, by, F.col("created_at").desc(), F.col("id").desc()))]
+    for tier, key, most in (("day", F.to_date("created_at"), days), ("week", x.iso_week(F.col("created_at")), weeks)):
+        buckets = m.groupBy("database", key.alias("key")).agg(F.max(F.struct("created_at", "id"))["id"].alias("id"))
+        kept.append((tier, _first(buckets, most, by, F.col("key").desc())))
+    return _named(m, kept).select("id", (F.col("tier") != "").alias("keep"))
 
 
 def wal_retention(files: DataFrame, days: int, as_of: str, oldest_needed: str | None = None) -> DataFrame:

@@ -325,6 +325,52 @@ def test_previous_and_running_over_spans(spark):
             before, total = v, total + (v or 0)
 
 
+def test_known_and_newest_over_spans(spark):
+    r = random.Random(9)
+    rows = [(r.choice(["a", "b", None]), i, r.randrange(300), r.choice([None, None, None, 1, 5])) for i in range(500)]
+    df = spark.createDataFrame(rows, "k string, i long, at long, v long")
+    spans, order = F.floor(F.col("at") / 16), ["at", "i"]
+    got = {x.i: (x.seen, x.rank) for x in chains.newest(chains.known(df, ["k"], spans, order, F.col("v"), "seen"), ["k"], spans, order, "rank").collect()}
+    for k in ("a", "b", None):
+        own, seen = sorted((x for x in rows if x[0] == k), key=lambda x: (x[2], x[1])), None
+        for n, (_, i, _, v) in enumerate(own):
+            assert got[i] == (seen, len(own) - n)
+            seen = v or seen
+
+
+def test_policies_against_plain_ranks(spark):
+    """Ties in time, and rows without a time, which come last."""
+    r = random.Random(10)
+    at = [None if i % 20 == 0 else dt.datetime(2024, 1, 1) + dt.timedelta(hours=12 * r.randrange(80)) for i in range(200)]
+    rows = [(i, r.choice(["a", "b"]), 10, t) for i, t in enumerate(at)]
+    df = spark.createDataFrame(rows, "id long, database string, size_bytes long, created_at timestamp_ntz")
+    by_age = {x.id: (x.rank, x.reason) for x in retention.age_policy(df, 10, 4, "2024-02-01").collect()}
+    kept = {x.id for x in retention.manifest_rules(df, 3, 4, 2).where("keep").collect()}
+    for k in ("a", "b"):
+        own = sorted((x for x in rows if x[1] == k), key=lambda x: (x[3] is not None, x[3] or 0, x[0]), reverse=True)
+        want = {x[0] for x in own[:3]}
+        for key, most in ((lambda t: t and t.date(), 4), (lambda t: t and t.isocalendar()[:2], 2)):
+            first: dict = {}
+            for x in own:
+                first.setdefault(key(x[3]), x[0])
+            want |= set(list(first.values())[:most])
+        assert {x[0] for x in own} & kept == want
+        for n, (i, _, _, t) in enumerate(own, 1):
+            old = t is not None and dt.datetime(2024, 2, 1) - t > dt.timedelta(days=10)
+            assert by_age[i] == (n, "minimum" if n <= 4 else "older than 10 days" if old else "within 10 days")
+
+
+def test_servers_change_across_spans(spark):
+    r = random.Random(11)
+    rows = [(f"{p}.{n:06d}", n, r.choice([0, 0, 0, 1, 2])) for p in ("x", "y") for n in sorted(r.sample(range(6000), 60))]
+    got = {x.name: (x.missing, bool(x.server_changed)) for x in logs.chain(spark.createDataFrame(rows, "name string, number long, server_id long")).collect()}
+    for p in ("x", "y"):
+        before = server = None
+        for name, n, s in (x for x in rows if x[0][0] == p):
+            assert got[name] == (0 if before is None else n - before - 1, bool(s and server and s != server))
+            before, server = n, s or server
+
+
 def test_use_and_definitions_in_log_filters(spark):
     lines = ["USE `shop` ;", "INSERT INTO t VALUES (1)", "USE INDEX (i1)", "INSERT INTO t VALUES (2)", "CREATE TABLE other (i int)", "DELETE FROM other", "use b", "UPDATE `t` SET i = 1", "drop table t"]
     df = spark.createDataFrame([(1, i, t) for i, t in enumerate(lines)], "stream long, line_no long, line string")
