@@ -8,10 +8,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -110,3 +114,33 @@ def newest(rows: DataFrame, by: Sequence[str], span: Column, order: Sequence[str
     counts = rows.groupBy(*by, "__span").agg(F.count("*").alias("__rows"))
     counts = counts.select(*by, "__span", F.coalesce(F.sum("__rows").over(after), F.lit(0)).alias("__base"))
     return _spanned(inside, counts, by).withColumn(out, F.col("__inside") + F.col("__base")).drop("__span", "__inside", "__base")
+
+
+def folded(rows: DataFrame, by: Sequence[str], order: Sequence[str], out: StructType, begin: Callable[[], Any], step: Callable[..., list[tuple]], end: Callable[[Any], list[tuple]]) -> DataFrame:
+    """Each key's rows in order through a fold: step(state, *the other columns) and end(state) give rows, which follow the key.
+
+    One batch of rows and one state are held at once; Spark sorts, and spills. The rows of one key are read by one task,
+    since what comes next depends on all before.
+    """
+    rest = [c for c in rows.columns if c not in by]
+    schema = StructType([StructField(f.name, f.dataType) for f in (*(rows.schema[c] for c in by), *out)])
+    arrow = to_arrow_schema(schema)
+
+    def table(found: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], f.type) for k, f in enumerate(arrow)], schema=arrow)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state = None, None
+        for part in parts:
+            found: list[tuple] = []
+            for row in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                if row[: len(by)] != key:
+                    if key is not None:
+                        found += [(*key, *r) for r in end(state)]
+                    key, state = row[: len(by)], begin()
+                found += [(*key, *r) for r in step(state, *row[len(by) :])]
+            yield table(found)
+        if key is not None:
+            yield table([(*key, *r) for r in end(state)])
+
+    return rows.select(*by, *rest).repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(run, schema)

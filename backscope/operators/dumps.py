@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import udtf
 
 from ..functions import scalars as x
-from .chains import depths
+from .chains import depths, folded
 
 
 def _upper(sql: Column) -> Column:
@@ -246,20 +245,16 @@ def postgres_type(kind: T.DataType) -> str:
 
 
 def greedy_batches(statements: DataFrame, by: Sequence[str], order: str, most_rows: int, most_bytes: int) -> DataFrame:
-    """statements with bytes: numbers of batches, each closed before it would hold too many rows or bytes. Ordered state of one group at a time."""
-    schema = T.StructType([*(statements.schema[c] for c in by), statements.schema[order], T.StructField("batch", T.LongType())])
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, kind="stable")
-        batch, n, held, out = 0, 0, 0, []
-        for size in rows["bytes"]:
-            if n and (n >= most_rows or held + size > most_bytes):
-                batch, n, held = batch + 1, 0, 0
-            n, held = n + 1, held + size
-            out.append(batch)
-        return rows[[*by, order]].assign(batch=out)
-
-    return statements.groupBy(*by).applyInPandas(run, schema)
+    """statements with bytes: numbers of batches, each closed before it would hold too many rows or bytes. A fold over one group's statements in order."""
+
+    def step(s: list[int], at: object, size: int | None) -> list[tuple]:
+        if s[1] and (s[1] >= most_rows or s[2] + (size or 0) > most_bytes):
+            s[:] = s[0] + 1, 0, 0
+        s[1], s[2] = s[1] + 1, s[2] + (size or 0)
+        return [(at, s[0])]
+
+    out = T.StructType([statements.schema[order], T.StructField("batch", T.LongType())])
+    return folded(statements.select(*by, order, "bytes"), by, [order], out, lambda: [0, 0, 0], step, lambda _: [])
 
 
 @udtf(returnType="seq bigint, kind string, phase string, table_name string, statement string, copy_rows bigint, copy_bytes bigint")

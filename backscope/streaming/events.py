@@ -6,11 +6,13 @@ from collections.abc import Iterator, Sequence
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
+from ..operators.chains import folded
+
 GROUP = ("database", "type", "severity", "host")
 
 
@@ -43,21 +45,20 @@ def digest(events: DataFrame, every: str = "5 minutes", late: str | None = None)
 
 
 def batches(events: DataFrame, seconds: int = 300, most: int = 50, by: Sequence[str] = ("host",)) -> DataFrame:
-    """Batches that the first event opens and that its time or a number of events closes: first, last, events, severest. A fold over one key's events in order."""
-    key = events.select(*by).schema
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["ts", "id"])
-        out: list[list[Any]] = []
-        for at, severity in zip(rows["ts"], rows["rank"], strict=True):
-            if not out or (at - out[-1][0]).total_seconds() >= seconds or out[-1][2] >= most:
-                out.append([at, at, 0, -1])
-            out[-1][1], out[-1][2], out[-1][3] = at, out[-1][2] + 1, max(out[-1][3], severity)
-        return pd.DataFrame([[*rows.iloc[0][list(by)], *b] for b in out], columns=[*by, "first_ts", "last_ts", "n", "worst"])
-
-    schema = key.add("first_ts", "timestamp_ntz").add("last_ts", "timestamp_ntz").add("n", "long").add("worst", "integer")
+    """Batches that the first event opens and that its time or a number of events closes: first, last, events, severest. Events without a time have batches of their own. A fold over one key's events in order."""
+
+    def step(s: list[Any], at: Any, _: int, severity: int) -> list[tuple]:
+        late = s[2] and ((at is None) != (s[0] is None) or (at is not None and (at - s[0]).total_seconds() >= seconds))
+        done = [tuple(s)] if late or s[2] >= most else []
+        if done or not s[2]:
+            s[:] = at, at, 0, -1
+        s[1], s[2], s[3] = at, s[2] + 1, max(s[3], severity)
+        return done
+
     rank = F.when(F.col("severity") == "critical", 4).when(F.col("severity") == "error", 3).when(F.col("severity") == "warning", 2).otherwise(0)
-    return events.select(*by, "ts", "id", rank.alias("rank")).groupBy(*by).applyInPandas(run, schema)
+    rows = events.select(*by, F.col("ts").cast("timestamp_ntz").alias("ts"), "id", rank.alias("rank"))
+    out = StructType().add("first_ts", "timestamp_ntz").add("last_ts", "timestamp_ntz").add("n", "long").add("worst", "integer")
+    return folded(rows, by, ["ts", "id"], out, lambda: [None, None, 0, -1], step, lambda s: [tuple(s)])
 
 
 #: Seconds after which the levels of an alert are told; seconds between repeats; repeats at most.
@@ -92,42 +93,43 @@ class Alert:
         return "resolved" if self.resolved else f"level_{self.level}"
 
 
+    def row(self) -> tuple:
+        return self.start, self.state(), self.level, self.told, self.events
+
+
 ALERT = "alert string, start_ts double, state string, level int, told int, events long"
 
 
-def follow(key: str, rows: pd.DataFrame, alert: Alert | None) -> tuple[list[tuple], Alert | None]:
-    """Go on with an alert over its key's events in order: errors open it or count, a completion resolves it."""
-    done = []
-    for at, severity, kind in rows.sort_values(["at", "id"])[["at", "severity", "type"]].itertuples(index=False):
+def _tell(held: list[Alert | None], at: float, severity: str, kind: str) -> list[tuple]:
+    """Go on with the alert held by one event: errors open it or count, a completion resolves it and gives its row."""
+    alert = held[0]
+    if alert:
+        alert.advance(at)
+    if severity in ("error", "critical"):
         if alert:
-            alert.advance(at)
-        if severity in ("error", "critical"):
-            if alert:
-                alert.events += 1
-            else:
-                alert = Alert(at)
-        elif alert and kind == "backup_completed":
-            alert.resolved = True
-            done.append((key, alert.start, alert.state(), alert.level, alert.told, alert.events))
-            alert = None
-    return done, alert
+            alert.events += 1
+        else:
+            held[0] = Alert(at)
+    elif alert and kind == "backup_completed":
+        alert.resolved, held[0] = True, None
+        return [alert.row()]
+    return []
 
 
 def _keyed(events: DataFrame) -> DataFrame:
+    """Events without a time are in no alert's course."""
     at = (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at")
-    return events.select(F.concat_ws("/", "database", "host").alias("alert"), "id", at, "severity", "type")
+    return events.where("ts is not null").select(F.concat_ws("/", "database", "host").alias("alert"), at, "id", "severity", "type")
 
 
 def escalate(events: DataFrame) -> DataFrame:
-    """All alerts of a finished table, the open ones as they stand after the last event of their key."""
+    """All alerts of a finished table, the open ones as they stand after the last event of their key. A fold over one key's events in order."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        done, alert = follow(rows["alert"].iloc[0], rows, None)
-        if alert:
-            done.append((rows["alert"].iloc[0], alert.start, alert.state(), alert.level, alert.told, alert.events))
-        return pd.DataFrame(done, columns=[x.split()[0] for x in ALERT.split(", ")])
+    def step(held: list[Alert | None], at: float, _: int, severity: str, kind: str) -> list[tuple]:
+        return _tell(held, at, severity, kind)
 
-    return _keyed(events).groupBy("alert").applyInPandas(run, ALERT)
+    out = StructType().add("start_ts", "double").add("state", "string").add("level", "integer").add("told", "integer").add("events", "long")
+    return folded(_keyed(events), ["alert"], ["at", "id"], out, lambda: [None], step, lambda held: [held[0].row()] if held[0] else [])
 
 
 def escalate_stream(events: DataFrame) -> DataFrame:
@@ -140,11 +142,13 @@ def escalate_stream(events: DataFrame) -> DataFrame:
             alert = Alert(0.0)
             for name, value in zip(fields, state.get, strict=True):
                 setattr(alert, name, value)
-        done, alert = follow(key[0], pd.concat(list(parts)), alert)
+        held, done = [alert], []
+        for row in pd.concat(list(parts)).sort_values(["at", "id"])[["at", "severity", "type"]].itertuples(index=False):
+            done += _tell(held, *row)
+        alert = held[0]
         state.update(tuple(getattr(alert, f) for f in fields) if alert else (0.0, 0.0, -1, 0, 0, 0))
-        if alert:
-            done.append((key[0], alert.start, alert.state(), alert.level, alert.told, alert.events))
-        yield pd.DataFrame(done, columns=[x.split()[0] for x in ALERT.split(", ")])
+        done += [alert.row()] if alert else []
+        yield pd.DataFrame([(key[0], *row) for row in done], columns=[x.split()[0] for x in ALERT.split(", ")])
 
     return _keyed(events).groupBy("alert").applyInPandasWithState(run, ALERT, "start double, last double, level int, repeats int, told int, events long", "append", GroupStateTimeout.NoTimeout)
 
@@ -153,36 +157,40 @@ def ema_speed(samples: DataFrame, alpha: float = 0.2, least: float = 0.5, warmup
     """samples: key, ts, seq, delta. The exponential mean of bytes a second after the last sample of each key.
 
     Samples sooner than `least` seconds after the last one that counted are passed over; negative differences count 0; the
-    first speed seeds the mean. An ordered fold over one key's samples.
+    first speed seeds the mean; samples without a time are left out. A fold over one key's samples in order.
     """
-    total = F.sum("delta").over(Window.partitionBy("key").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0))
-    at = (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at")
-    rows = samples.select("key", at, "seq", total.cast("double").alias("total")).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("at", "seq", "total"))).alias("r"))
-    start = F.struct(F.col("r")[0]["at"].alias("at"), F.col("r")[0]["total"].alias("total"), F.lit(0.0).alias("ema"), F.lit(0).alias("n"))
 
-    def step(s: Column, r: Column) -> Column:
-        elapsed = r["at"] - s["at"]
-        speed = F.greatest(r["total"] - s["total"], F.lit(0.0)) / elapsed
-        mean = F.when(s["ema"] == 0, speed).otherwise(alpha * speed + (1 - alpha) * s["ema"])
-        return F.when(elapsed < least, s).otherwise(F.struct(r["at"].alias("at"), r["total"].alias("total"), mean.alias("ema"), (s["n"] + 1).alias("n")))
+    def step(s: list[Any], at: float, _: int, delta: float | None) -> list[tuple]:
+        s[4] += delta or 0
+        if s[0] is None:
+            s[0], s[1] = at, s[4]
+        elif at - s[0] >= least:
+            speed = max(float(s[4]) - float(s[1]), 0.0) / (at - s[0])
+            s[:4] = at, s[4], speed if s[2] == 0 else alpha * speed + (1 - alpha) * s[2], s[3] + 1
+        return []
 
-    done = rows.select("key", F.aggregate(F.slice("r", 2, F.greatest(F.size("r") - 1, F.lit(0))), start, step).alias("s"))
-    return done.select("key", F.round("s.ema", 6).alias("bytes_per_s"), F.col("s.n").alias("samples"), (F.col("s.n") >= warmup).alias("warm"))
+    out = StructType().add("mean", "double").add("samples", "integer")
+    done = folded(_timed(samples, "delta"), ["key"], ["at", "seq"], out, lambda: [None, 0, 0.0, 0, 0], step, lambda s: [(s[2], s[3])])
+    return done.select("key", F.round("mean", 6).alias("bytes_per_s"), "samples", (F.col("samples") >= warmup).alias("warm"))
 
 
-def token_bucket(requests: DataFrame, rate: float, burst: float) -> DataFrame:
-    """requests: key, ts, seq, delta (bytes wanted). How long requests wait at a rate with a burst: an ordered fold over one key, in bytes owed."""
+def _timed(rows: DataFrame, value: str) -> DataFrame:
     at = (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at")
-    rows = requests.select("key", at, "seq", F.col("delta").cast("double").alias("want")).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("at", "seq", "want"))).alias("r"))
-    start = F.struct(F.col("r")[0]["at"].alias("at"), F.lit(float(burst)).alias("left"), F.lit(0.0).alias("waited"), F.lit(0).alias("n"))
+    return rows.where("ts is not null").select("key", at, "seq", value)
+
+
+def token_bucket(requests: DataFrame, rate: float, burst: float) -> DataFrame:
+    """requests: key, ts, seq, delta (bytes wanted). How long requests wait at a rate with a burst, in bytes owed; those without a time are left out. A fold over one key's requests in order."""
 
-    def step(s: Column, r: Column) -> Column:
-        have = F.least(s["left"] + (r["at"] - s["at"]) * rate, F.lit(float(burst))) - r["want"]
-        wait = F.greatest(-have, F.lit(0.0)) / rate
-        return F.struct(r["at"].alias("at"), have.alias("left"), (s["waited"] + wait).alias("waited"), (s["n"] + (wait > 0).cast("int")).alias("n"))
+    def step(s: list[Any], at: float, _: int, want: float | None) -> list[tuple]:
+        s[1] = min(s[1] + (at - (at if s[0] is None else s[0])) * rate, float(burst)) - float(want or 0)
+        wait = max(-s[1], 0.0) / rate
+        s[0], s[2], s[3] = at, s[2] + wait, s[3] + (wait > 0)
+        return []
 
-    done = rows.select("key", F.aggregate("r", start, step).alias("s"))
-    return done.select("key", F.round("s.waited", 3).alias("waited_s"), F.col("s.n").alias("delayed"))
+    out = StructType().add("waited", "double").add("delayed", "integer")
+    done = folded(_timed(requests, "delta"), ["key"], ["at", "seq"], out, lambda: [None, float(burst), 0.0, 0], step, lambda s: [(s[2], s[3])])
+    return done.select("key", F.round("waited", 3).alias("waited_s"), "delayed")
 
 
 def limited(attempts: DataFrame, most: int = 5, base: float = 1.0, cap: float = 60.0, reset: float = 300.0) -> DataFrame:
@@ -190,35 +198,27 @@ def limited(attempts: DataFrame, most: int = 5, base: float = 1.0, cap: float =
 
     The first attempt goes through, as does one later than `reset` after the last; it counts 1. From `most` counts on
     attempts are refused; others wait until the backoff since the last one is over and count one more. After that a
-    success sets the count to 0, a failure adds one. A pause longer than all waits before can be starts anew, so each run
-    between such pauses is folded on its own: one run of one key is held at once.
+    success sets the count to 0, a failure adds one. Attempts without a time are left out. A fold over one key's
+    attempts in order.
     """
-    micros = {name: int(x * 1_000_000) for name, x in (("base", base), ("cap", cap), ("reset", reset))}
-    rows = attempts.select("key", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "seq", "ok")
-    order = Window.partitionBy("key").orderBy("at", "seq")
-    # no attempt ends later than if each one before had waited longest; what starts later than that and the reset starts anew
-    longest = min(micros["cap"], micros["base"] << max(0, most - 2))
-    numbered = rows.withColumn("n", F.row_number().over(order).cast("long"))
-    before = F.max(F.col("at") - F.col("n") * longest).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    fresh = F.coalesce((F.col("at") - before - F.col("n") * longest > micros["reset"]).cast("int"), F.lit(0))
-    runs = numbered.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    held = runs.groupBy("key", "run").agg(F.sort_array(F.collect_list(F.struct("at", "seq", "ok"))).alias("r"))
-    none = F.lit(0).cast("long")
-    start = F.struct(none.alias("last"), none.alias("count"), F.lit(False).alias("known"), none.alias("attempts"), none.alias("refused"), none.alias("delayed"), none.alias("waited"))
-
-    def step(s: Column, r: Column) -> Column:
-        anew = ~s["known"] | (r["at"] - s["last"] > micros["reset"])
-        refused = ~anew & (s["count"] >= most)
-        pause = F.when(s["count"] == 0, none).otherwise(F.least(F.lit(micros["base"]) * F.pow(F.lit(2.0), s["count"] - 1), F.lit(micros["cap"])).cast("long"))
-        wait = F.when(anew | refused, none).otherwise(F.greatest(s["last"] + pause - r["at"], none))
-        counted = F.when(anew, none).otherwise(s["count"]) + 1
-        return F.struct(
-            F.when(refused, s["last"]).otherwise(r["at"] + wait).alias("last"), F.when(refused, s["count"]).when(r["ok"], none).otherwise(counted + 1).alias("count"), F.lit(True).alias("known"),
-            (s["attempts"] + 1).alias("attempts"), (s["refused"] + refused.cast("long")).alias("refused"), (s["delayed"] + (wait > 0).cast("long")).alias("delayed"), (s["waited"] + wait).alias("waited"),
-        )
-
-    done = held.select("key", F.aggregate("r", start, step).alias("s")).groupBy("key")
-    return done.agg(*[F.sum(f"s.{c}").alias(c) for c in ("attempts", "refused", "delayed")], F.round(F.sum("s.waited") / 1e6, 3).alias("waited_s"))
+    first, longest, pause = (int(seconds * 1_000_000) for seconds in (base, cap, reset))
+
+    def step(s: list[Any], at: int, _: int, ok: bool | None) -> list[tuple]:
+        last, count = s[:2]
+        s[2] += 1
+        anew = last is None or at - last > pause
+        if not anew and count >= most:
+            s[3] += 1
+            return []
+        wait = 0 if anew else max(last + (min(first << count - 1, longest) if count else 0) - at, 0)
+        s[0], s[1] = at + wait, 0 if ok else (1 if anew else count + 1) + 1
+        s[4], s[5] = s[4] + (wait > 0), s[5] + wait
+        return []
+
+    out = StructType().add("attempts", "long").add("refused", "long").add("delayed", "long").add("waited", "long")
+    rows = attempts.where("ts is not null").select("key", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "seq", "ok")
+    done = folded(rows, ["key"], ["at", "seq"], out, lambda: [None, 0, 0, 0, 0, 0], step, lambda s: [tuple(s[2:])])
+    return done.select("key", "attempts", "refused", "delayed", F.round(F.col("waited") / 1e6, 3).alias("waited_s"))
 
 
 def adapted_rate(rate: float, outcomes: Sequence[bool], least: float, most: float) -> float:

@@ -468,6 +468,41 @@ def test_limits_of_hosts(spark):
     assert events.limited(spark.createDataFrame([], "key string, ts timestamp, seq long, ok boolean")).collect() == []
 
 
+def test_folds_go_on_across_batches_and_keys(spark):
+    """Against plain loops, with keys longer than an Arrow batch, keys without a name, times without a value and ties."""
+    r = random.Random(12)
+    rows = [(i, r.choice(["a", None]), NOW + dt.timedelta(seconds=r.randrange(9000)) if r.random() < 0.98 else None, r.choice(["info", "warning", "error"])) for i in range(900)]
+    df = spark.createDataFrame(rows, "id long, host string, ts timestamp_ntz, severity string")
+    sizes = [(k, i, r.randrange(90)) for k in ("x", "y", None) for i in range(400)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 64)
+    try:
+        got = Counter(map(tuple, events.batches(df, 120, 9).collect()))
+        cut = {(x.k, x.i): x.batch for x in dumps.greedy_batches(spark.createDataFrame(sizes, "k string, i long, bytes long"), ["k"], "i", 7, 300).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want: list = []
+    for host in ("a", None):
+        for timeless in (True, False):
+            own: list = []
+            for _, _, at, severity in sorted((x for x in rows if x[1] == host and (x[2] is None) == timeless), key=lambda x: (x[2] or NOW, x[0])):
+                rank = {"info": 0, "warning": 2, "error": 3}[severity]
+                if not own or own[-1][3] == 9 or (at and (at - own[-1][1]).total_seconds() >= 120):
+                    own.append((host, at, at, 1, rank))
+                else:
+                    own[-1] = (host, own[-1][1], at, own[-1][3] + 1, max(own[-1][4], rank))
+            want += own
+    assert got == Counter(want)
+    for key in ("x", "y", None):
+        batch, n, held = 0, 0, 0
+        for k, i, size in sizes:
+            if k == key:
+                if n == 7 or (n and held + size > 300):
+                    batch, n, held = batch + 1, 0, 0
+                n, held = n + 1, held + size
+                assert cut[k, i] == batch
+    assert events.batches(df.limit(0)).collect() == [] and events.escalate(oplog(spark, [])).collect() == []
+
+
 def test_waits_at_a_rate(spark):
     """Against one request after the other, at a rate that makes many wait."""
     r, rows, want = random.Random(8), [], {}
