@@ -4,21 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as x
+from .chains import newest, previous
 
 GIB = 1 << 30
 
 
 def growth(catalog: DataFrame) -> DataFrame:
     """Daily growth of each database from its first to its last row, and how steady it is. Needs two rows at different times."""
-    w = Window.partitionBy("database").orderBy("created_at", "id")
     first, last = F.min(F.struct("created_at", "id", "size_bytes")), F.max(F.struct("created_at", "id", "size_bytes"))
-    days = x.seconds(F.lag("created_at").over(w), F.col("created_at")) / 86400.0
-    rate = (F.col("size_bytes") - F.lag("size_bytes").over(w)) / days
-    steps = catalog.select("database", "created_at", "id", "size_bytes", F.when(days > 0, rate).alias("rate"))
+    rows = previous(catalog.select("database", "created_at", "id", "size_bytes"), ["database"], F.date_trunc("month", "created_at"), ["created_at", "id"], {"created_at": "at_before", "size_bytes": "size_before"})
+    days = x.seconds(F.col("at_before"), F.col("created_at")) / 86400.0
+    rate = (F.col("size_bytes") - F.col("size_before")) / days
+    steps = rows.select("database", "created_at", "id", "size_bytes", F.when(days > 0, rate).alias("rate"))
     # sums of the rates and their squares give the spread around any mean in the same pass
     g = steps.groupBy("database").agg(F.count("*").alias("n"), first.alias("f"), last.alias("l"), F.sum("rate").alias("r1"), F.sum(F.col("rate") * F.col("rate")).alias("r2"), F.count("rate").alias("rn"))
     span = x.seconds(F.col("f.created_at"), F.col("l.created_at")) / 86400.0
@@ -31,6 +32,12 @@ def growth(catalog: DataFrame) -> DataFrame:
     return g.select("database", "n", F.col("l.size_bytes").alias("current_size"), F.col("l.created_at").alias("newest"), F.round("days", 6).alias("days"), F.round("daily", 6).alias("daily_growth"), F.round(pct, 6).alias("daily_pct"), sure.alias("confidence"))
 
 
+def largest_first(tables: DataFrame, by: str) -> DataFrame:
+    """tables with their place in their group, the largest first, then by table_id. Sizes are ranked in spans of a 64th of a doubling."""
+    rows = tables.withColumn("__back", -F.col("table_id"))
+    return newest(rows, [by], F.floor(F.log2(F.greatest(F.col("size_bytes"), F.lit(0)) + 1) * 64), ["size_bytes", "__back"], "place").drop("__back")
+
+
 def forecast(rates: DataFrame, horizons: Sequence[int]) -> DataFrame:
     """The size after each number of days, 0 at least; confidence falls 10 points in 30 days, to 30 at least."""
     base = F.when(F.col("confidence") == "high", 95.0).when(F.col("confidence") == "medium", 75.0).otherwise(50.0)

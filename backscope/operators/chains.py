@@ -116,7 +116,7 @@ def newest(rows: DataFrame, by: Sequence[str], span: Column, order: Sequence[str
     return _spanned(inside, counts, by).withColumn(out, F.col("__inside") + F.col("__base")).drop("__span", "__inside", "__base")
 
 
-def folded(rows: DataFrame, by: Sequence[str], order: Sequence[str], out: StructType, begin: Callable[[], Any], step: Callable[..., list[tuple]], end: Callable[[Any], list[tuple]]) -> DataFrame:
+def folded(rows: DataFrame, by: Sequence[str], order: Sequence[str | Column], out: StructType, begin: Callable[[], Any], step: Callable[..., list[tuple]], end: Callable[[Any], list[tuple]]) -> DataFrame:
     """Each key's rows in order through a fold: step(state, *the other columns) and end(state) give rows, which follow the key.
 
     One batch of rows and one state are held at once; Spark sorts, and spills. The rows of one key are read by one task,

@@ -10,7 +10,10 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import udtf
 
 from ..functions import scalars as x
-from .chains import depths, folded
+from .chains import depths, folded, previous, running
+
+#: Numbers of lines or rows in a span.
+SPAN = 4096
 
 
 def _upper(sql: Column) -> Column:
@@ -190,21 +193,31 @@ def copy_blocks(lines: DataFrame) -> DataFrame:
     """lines: stream, line_no, line. Each COPY header with whether its block ends: another header, or the end of the text, before a terminator means that it is cut off."""
     header = F.upper(F.trim("line")).rlike(r"^COPY .* FROM STDIN;$")
     mark = F.when(header, "header").when(F.trim("line") == "\\.", "end")
-    marks = lines.select("stream", "line_no", "line", mark.alias("mark")).where("mark is not null")
-    following = F.lead("mark").over(Window.partitionBy("stream").orderBy("line_no"))
-    return marks.withColumn("next", following).where("mark = 'header'").select("stream", "line_no", table_of(F.col("line")).alias("table"), F.coalesce(F.col("next") != "end", F.lit(True)).alias("truncated"))
+    marks = lines.select("stream", "line_no", "line", mark.alias("mark"), (-F.col("line_no")).alias("back")).where("mark is not null")
+    marks = previous(marks, ["stream"], F.floor(F.col("back") / SPAN), ["back"], {"mark": "next"})
+    return marks.where("mark = 'header'").select("stream", "line_no", table_of(F.col("line")).alias("table"), F.coalesce(F.col("next") != "end", F.lit(True)).alias("truncated"))
 
 
 def context_lines(lines: DataFrame, error: Column, around: int) -> DataFrame:
-    """Lines within `around` of one that has an error, in the same stream."""
-    w = Window.partitionBy("stream").orderBy("line_no").rowsBetween(-around, around)
-    return lines.withColumn("near", F.max(error.cast("int")).over(w)).where("near = 1").select("stream", "line_no", "line", error.alias("is_error"))
+    """Lines within `around` of one that has an error, in the same stream. A block of a stream's lines is looked through at once, with `around` lines of its neighbours."""
+    block = max(SPAN, around)
+    rows = running(lines.withColumn("is_error", error), ["stream"], F.floor(F.col("line_no") / SPAN), ["line_no"], F.lit(1), "at")
+    own = F.floor(F.col("at") / block)
+    touched = F.filter(F.array(own - 1, own, own + 1), lambda b: (F.col("at") + around >= b * block) & (F.col("at") - around < (b + 1) * block))
+    w = Window.partitionBy("stream", "block").orderBy("at").rowsBetween(-around, around)
+    seen = rows.withColumn("block", F.explode(touched)).withColumn("near", F.max(F.col("is_error").cast("int")).over(w))
+    return seen.where((F.col("near") == 1) & (F.col("block") == own)).select("stream", "line_no", "line", "is_error")
+
+
+def count_batches(rows: DataFrame, by: Sequence[str], order: str, size: int) -> DataFrame:
+    """rows with `batch`: the number of their run of `size` rows, in the order of a number."""
+    counted = running(rows, by, F.floor(F.col(order) / SPAN), [order], F.lit(1), "__n")
+    return counted.withColumn("batch", F.floor(F.col("__n") / size).cast("long")).drop("__n")
 
 
 def insert_batches(rows: DataFrame, table: str, values: Column, order: str, size: int = 5000) -> DataFrame:
-    """One INSERT statement for each run of `size` rows in order within a table's parts (column part)."""
-    n = F.row_number().over(Window.partitionBy("part").orderBy(order)) - 1
-    numbered = rows.select("part", F.floor(n / size).cast("long").alias("batch"), F.col(order).alias("__o"), values.alias("__v"))
+    """One INSERT statement for each run of `size` rows, in the order of a number, within a table's parts (column part)."""
+    numbered = count_batches(rows.select("part", F.col(order).alias("__o"), values.alias("__v")), ["part"], "__o", size)
     g = numbered.groupBy("part", "batch").agg(F.array_sort(F.collect_list(F.struct("__o", "__v"))).alias("r"))
     return g.select("part", "batch", F.size("r").alias("rows"), F.concat(F.lit(f"INSERT INTO {table} VALUES "), F.array_join(F.transform("r", lambda s: s["__v"]), ", "), F.lit(";")).alias("statement"))
 

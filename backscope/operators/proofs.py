@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import scalars as x
-from .chains import previous
+from .chains import folded, previous
 
 
 def reconcile(source: DataFrame, restored: DataFrame) -> DataFrame:
@@ -30,9 +33,20 @@ def check_summary(tables: DataFrame) -> DataFrame:
 
 
 def table_checksum(rows: DataFrame, by: Sequence[str], text: Column, order: Sequence[str]) -> DataFrame:
-    """MD5 of the rows' texts in order ('empty' without rows). A group must fit one task: see multiset_checksum for large tables."""
-    g = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*order, text.alias("__t")))).alias("r"))
-    return g.select(*by, F.when(F.size("r") == 0, "empty").otherwise(F.md5(F.array_join(F.transform("r", lambda s: s["__t"]), "").cast("binary"))).alias("checksum"))
+    """MD5 of the rows' texts in order, nulls last ('empty' without rows). A fold over one group's rows: see multiset_checksum, which shares a large table's rows out."""
+
+    def step(digest: Any, *row: Any) -> list[tuple]:
+        if row[-1] is not None:
+            digest.update(row[-1].encode())
+        return []
+
+    texts = rows.select(*by, *order, text.alias("__t"), *([] if by else [F.lit(0).alias("__all")]))
+    places = [F.col(c).asc_nulls_last() for c in (*order, "__t")]
+    done = folded(texts, by or ["__all"], places, StructType().add("checksum", "string"), lambda: hashlib.md5(usedforsecurity=False), step, lambda digest: [(digest.hexdigest(),)])
+    if by:
+        return done
+    one = rows.sparkSession.range(1).select(F.lit(0).alias("__all"))
+    return one.join(done, "__all", "left").select(F.coalesce("checksum", F.lit("empty")).alias("checksum"))
 
 
 def multiset_checksum(rows: DataFrame, by: Sequence[str], text: Column) -> DataFrame:

@@ -95,9 +95,7 @@ def table_sizes(t: DataFrame) -> DataFrame:
 
 @query("t4_largest_first", "tables", sql="SELECT table_id, row_number() OVER (PARTITION BY schema ORDER BY size_bytes DESC, table_id)::INT AS place FROM tables")
 def largest_first(t: DataFrame) -> DataFrame:
-    from pyspark.sql import Window
-
-    return t.select("table_id", F.row_number().over(Window.partitionBy("schema").orderBy(F.col("size_bytes").desc(), "table_id")).alias("place"))
+    return c.largest_first(t, "schema").select("table_id", F.col("place").cast("int").alias("place"))
 
 
 @query("x34_size_class", "tables", sql="SELECT table_id, k AS size_class, least(CASE k WHEN 'tiny' THEN 1 WHEN 'small' THEN 2 WHEN 'medium' THEN 4 WHEN 'large' THEN 8 ELSE 16 END, 12) AS workers FROM (SELECT table_id, CASE WHEN size_bytes < 10485760 THEN 'tiny' WHEN size_bytes < 104857600 THEN 'small' WHEN size_bytes < 1073741824 THEN 'medium' WHEN size_bytes < 10737418240 THEN 'large' ELSE 'huge' END AS k FROM tables)")

@@ -173,10 +173,7 @@ def copy_text(t: DataFrame) -> DataFrame:
 
 @query("w11_count_batches", "dump_lines", sql="SELECT line_no, ((row_number() OVER (PARTITION BY line_no % 6 ORDER BY line_no) - 1) // 100) AS batch FROM dump_lines")
 def count_batches(t: DataFrame) -> DataFrame:
-    from pyspark.sql import Window
-
-    n = F.row_number().over(Window.partitionBy(F.col("line_no") % 6).orderBy("line_no")) - 1
-    return t.select("line_no", F.floor(n / 100).alias("batch"))
+    return d.count_batches(t.select((F.col("line_no") % 6).alias("stream"), "line_no"), ["stream"], "line_no", 100).select("line_no", "batch")
 
 
 @query("w11_greedy_batches", "dump_lines", sql="""RECURSIVE l AS (SELECT line_no % 6 AS stream, line_no, strlen(line) AS size, row_number() OVER (PARTITION BY line_no % 6 ORDER BY line_no) AS k FROM dump_lines),

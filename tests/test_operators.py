@@ -503,6 +503,40 @@ def test_folds_go_on_across_batches_and_keys(spark):
     assert events.batches(df.limit(0)).collect() == [] and events.escalate(oplog(spark, [])).collect() == []
 
 
+def test_lines_and_batches_over_spans(spark, monkeypatch):
+    """Context, COPY blocks and counted batches against plain loops, with spans and blocks of a few lines."""
+    monkeypatch.setattr(dumps, "SPAN", 16)
+    r = random.Random(13)
+    kinds = ["COPY public.t (id) FROM stdin;", "\\.", "x", "x", "x"]
+    rows = [(s, n, r.choice(kinds), r.random() < 0.03) for s in (1, None) for n in sorted(r.sample(range(2000), 300))]
+    df = spark.createDataFrame(rows, "stream int, line_no long, line string, bad boolean")
+    for around in (0, 3, 40):
+        got = {(x.stream, x.line_no) for x in dumps.context_lines(df, F.col("bad"), around).collect()}
+        want = set()
+        for s in (1, None):
+            own = [x for x in rows if x[0] == s]
+            want |= {(s, own[k][1]) for i, x in enumerate(own) if x[3] for k in range(max(0, i - around), min(len(own), i + around + 1))}
+        assert got == want
+    blocks = {(x.stream, x.line_no): x.truncated for x in dumps.copy_blocks(df).collect()}
+    batch = {(x.stream, x.line_no): x.batch for x in dumps.count_batches(df, ["stream"], "line_no", 7).collect()}
+    for s in (1, None):
+        own = [x for x in rows if x[0] == s]
+        marks = [x for x in own if x[2] != "x"]
+        for a, b in zip(marks, [*marks[1:], None], strict=True):
+            assert a[2] != kinds[0] or blocks.pop((s, a[1])) == (b is None or b[2] == kinds[0])
+        assert all(batch[s, x[1]] == i // 7 for i, x in enumerate(own))
+    assert not blocks
+
+
+def test_checksums_of_groups(spark):
+    rows = [("a", 2, "y"), ("a", 1, "x\u00e9"), ("a", None, "z"), ("a", 3, None), (None, 1, "q")]
+    df = spark.createDataFrame(rows, "k string, i int, t string")
+    got = {x.k: x.checksum for x in proofs.table_checksum(df, ["k"], F.col("t"), ["i"]).collect()}
+    assert got == {"a": hashlib.md5("x\u00e9yz".encode()).hexdigest(), None: hashlib.md5(b"q").hexdigest()}
+    assert proofs.table_checksum(df.limit(0), [], F.col("t"), ["i"]).first().checksum == "empty"
+    assert proofs.table_checksum(df.where("k = 'a'"), [], F.col("t"), ["i"]).first().checksum == got["a"]
+
+
 def test_waits_at_a_rate(spark):
     """Against one request after the other, at a rate that makes many wait."""
     r, rows, want = random.Random(8), [], {}
